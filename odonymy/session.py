@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,17 @@ def discard(df: DataFrame) -> None:
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_odonymy_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="odonymy-zip-"), "odonymy.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._odonymy_shipped = True
