@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odonymy.llm import decontaminate, oracles, quality, toxicity
+from odonymy.llm import decontaminate, language, oracles, quality, toxicity
 from odonymy.llm.frames import table
 from odonymy.session import ship
 
@@ -26,6 +26,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.digest(language.predict(docs, language.fit(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _shipped(f) for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -9,7 +9,8 @@ scores then locate the offending ones.
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased; sentences end at
 . ! ? and line feeds. The model is fitted on the driver by full-batch Adagrad with an L1
 penalty, on at most ``sample`` labelled documents (whole texts); a word seen in fewer than
-``min_df`` of them has no weight. With no positive or no negative example every sentence gets
+``min_df`` of them has no weight. The bias stays at -9 or less: thousands of sentences without
+evidence then leave a document clean. With no positive or no negative example every sentence gets
 the base rate.
 
 Defined cases: null, empty or wordless texts have no sentence with a word and score the
@@ -97,7 +98,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("y"), pa.array(rows, pa.binary())], ["y", "k"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int = 8, rounds: int = 120, l1: float = 2e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int = 8, rounds: int = 200, l1: float = 2e-4) -> Model:
     """Fits on a bounded sample of labelled documents; see the module's text."""
     got = labelled(docs, labels, "toxic", sample).mapInArrow(_features, "y int, k binary").toArrow()
     y = got.column("y").to_numpy().astype(float)
@@ -118,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int =
     col = np.searchsorted(ids, feature[ok])
     sentence = sentence[ok]
     n, docs_of = int(base[-1]), np.repeat(np.arange(len(keys)), per)
-    theta, bias = np.zeros(len(ids)), -4.0
+    theta, bias = np.zeros(len(ids)), -10.0
     seen, seen_b, rate = np.full(len(ids), 1e-8), 1e-8, 0.5
     # Bags without any kept word still have sentences at the bias.
     for _ in range(rounds):
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int =
         step = rate / np.sqrt(seen)
         theta -= step * gw
         theta = np.sign(theta) * np.maximum(np.abs(theta) - step * l1, 0)
-        bias -= 0.1 * gb / np.sqrt(seen_b)
+        bias = min(bias - 0.1 * gb / np.sqrt(seen_b), -9.0)
     model.weights[ids] = theta
     model.bias = float(bias)
     return model
