@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odonymy.llm import decontaminate, language, oracles, quality, toxicity
+from odonymy.llm import decontaminate, language, oracles, packing, quality, repair_codec, toxicity
 from odonymy.llm.frames import table
+from odonymy.llm.tokens import public_path
 from odonymy.session import ship
 
 
@@ -22,6 +23,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_codec.round_trip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 

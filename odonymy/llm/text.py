@@ -147,6 +147,7 @@ def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = False, gap: np.nd
 
 def planes(a: np.ndarray) -> bytes:
     """Little-endian bytes with the first bytes of all items first: compresses well if items are alike."""
+    a = np.ascontiguousarray(a).ravel()
     return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
 
 
