@@ -9,7 +9,7 @@ scores then locate the offending ones.
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased; sentences end at
 . ! ? and line feeds. The model is fitted on the driver by full-batch Adagrad with an L1
 penalty, on at most ``sample`` labelled documents (whole texts); a word seen in fewer than
-``min_df`` of them has no weight. The bias stays at -9 or less: thousands of sentences without
+``min_df`` of them, or not ``lift`` times as often toxic as all, has no weight. The bias stays at -9 or less: thousands of sentences without
 evidence then leave a document clean. With no positive or no negative example every sentence gets
 the base rate.
 
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from odonymy.llm.frames import id_remainder
 from odonymy.llm.samples import labelled
 from odonymy.llm.text import LOWER, NONWORD, Hasher, chunks, split, utf8
+from odonymy.session import discard, materialize
 
 HASH = Hasher(21)
 BITS = 18
@@ -85,43 +86,59 @@ class Model:
         return 1 - np.exp(logs[b.doc_bounds[1:]] - logs[b.doc_bounds[:-1]])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per training document: label and its distinct (sentence, word) features."""
+def _distinct(b: Bags, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sentence (from 0) and feature of document i, each pair once."""
+    lo, hi = b.doc_bounds[i], b.doc_bounds[i + 1]
+    of = slice(b.sentence_bounds[lo], b.sentence_bounds[hi])
+    key = np.unique(((b.word_sentence[of] - lo) << BITS) | b.feature[of])
+    return key >> BITS, key & ((1 << BITS) - 1)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature: documents that have it, and toxic ones among them."""
+    n = np.zeros((2, 1 << BITS), np.int64)
     for part in chunks(batches):
         b = bags(part.column("text"))
-        rows = []
-        for i in range(part.num_rows):
-            lo, hi = b.doc_bounds[i], b.doc_bounds[i + 1]
-            of = slice(b.sentence_bounds[lo], b.sentence_bounds[hi])
-            key = np.unique(((b.word_sentence[of] - lo) << BITS) | b.feature[of])
-            rows.append(key.tobytes())
-        yield pa.record_batch([part.column("y"), pa.array(rows, pa.binary())], ["y", "k"])
+        for i, y in enumerate(part.column("y").to_pylist()):
+            own = np.unique(b.feature[b.sentence_bounds[b.doc_bounds[i]] : b.sentence_bounds[b.doc_bounds[i + 1]]])
+            n[0, own] += 1
+            n[1, own] += y > 0
+    k = np.flatnonzero(n[0])
+    yield pa.record_batch({"k": k, "n": n[0, k], "p": n[1, k]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int = 8, rounds: int = 200, l1: float = 2e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int = 8, lift: float = 1.5, rounds: int = 600, l1: float = 5e-5) -> Model:
     """Fits on a bounded sample of labelled documents; see the module's text."""
-    got = labelled(docs, labels, "toxic", sample).mapInArrow(_features, "y int, k binary").toArrow()
-    y = got.column("y").to_numpy().astype(float)
+    rows = materialize(labelled(docs, labels, "toxic", sample), "toxicity-sample")
+    counts = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0))).first()
     model = Model()
-    if not len(y) or y.min() == y.max():
-        model.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) - 2) if len(y) else model.bias
+    if not counts[0] or counts[1] in (0, counts[0]):
+        model.bias = float(np.log((counts[1] + 1) / (counts[0] - counts[1] + 1)) - 2) if counts[0] else model.bias
         return model
-    keys = [np.frombuffer(k, np.int64) for k in got.column("k").to_pylist()]
-    feature = np.concatenate(keys) & ((1 << BITS) - 1)
-    per = [np.max(k >> BITS) + 1 if len(k) else 0 for k in keys]
-    base = np.concatenate([[0], np.cumsum(per)])
-    sentence = np.concatenate([(k >> BITS) + s for k, s in zip(keys, base[:-1], strict=True)])
-    doc_of_word = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    df = np.bincount(np.unique(doc_of_word * (1 << BITS) + feature) & ((1 << BITS) - 1), minlength=1 << BITS)
-    kept = df >= min_df
-    ok = kept[feature]
-    ids = np.flatnonzero(kept)
-    col = np.searchsorted(ids, feature[ok])
-    sentence = sentence[ok]
-    n, docs_of = int(base[-1]), np.repeat(np.arange(len(keys)), per)
+    tally = rows.mapInArrow(_tally, "k long, n long, p long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    tally = tally.where((F.col("n") >= min_df) & (F.col("p") >= lift * counts[1] / counts[0] * F.col("n")))
+    ids = np.sort(tally.select("k").toArrow().column("k").to_numpy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(1 << BITS, bool)
+        keep[ids] = True
+        for part in chunks(batches):
+            b, out = bags(part.column("text")), []
+            for i in range(part.num_rows):
+                s, f = _distinct(b, i)
+                out.append((s[keep[f]].astype(np.int32).tobytes(), np.searchsorted(ids, f[keep[f]]).astype(np.int32).tobytes()))
+            yield pa.record_batch([part.column("y"), pa.array(np.diff(b.doc_bounds)), *(pa.array([x[j] for x in out], pa.binary()) for j in (0, 1))], ["y", "n", "s", "f"])
+
+    got = rows.mapInArrow(run, "y int, n long, s binary, f binary").toArrow()
+    discard(rows)
+    y, per = got.column("y").to_numpy().astype(float), got.column("n").to_numpy()
+    sent, feat = ([np.frombuffer(x, np.int32) for x in got.column(c).to_pylist()] for c in ("s", "f"))
+    base = np.cumsum(per) - per
+    sentence = np.concatenate([x + o for x, o in zip(sent, base.tolist(), strict=True)]).astype(np.int64)
+    col = np.concatenate(feat)
+    n, docs_of = int(per.sum()), np.repeat(np.arange(len(y)), per)
     theta, bias = np.zeros(len(ids)), -10.0
     seen, seen_b, rate = np.full(len(ids), 1e-8), 1e-8, 0.5
-    # Bags without any kept word still have sentences at the bias.
     for _ in range(rounds):
         z = np.bincount(sentence, theta[col], n) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
