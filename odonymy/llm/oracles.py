@@ -22,3 +22,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN np USING (doc_id) LEFT JOIN ni USING (doc_id)
 """
+
+SQL["op1_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_SPACED}'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, w[i:i + 12] AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i)),
+low AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+hit AS (SELECT DISTINCT doc_id, p FROM win JOIN low USING (k), LATERAL (SELECT unnest(range(i, i + 13)) AS p) WHERE lo < doc_id),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+rest AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM words ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN rest USING (doc_id)
+"""
+
+SQL["op4_jaccard_join"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_SPACED}'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[i:i + 2] AS k FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ids AS (SELECT k, row_number() OVER () AS t FROM s GROUP BY k),
+e AS (SELECT doc_id, t FROM s JOIN ids USING (k)),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, y.b FROM reach r JOIN both_ways y ON r.b = y.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
+"""

@@ -7,17 +7,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odonymy.llm import decontaminate, language, oracles, packing, quality, repair_codec, toxicity
+from odonymy.llm import decontaminate, jaccard_join, language, oracles, packing, quality, repair_codec, substring_dedup, toxicity
 from odonymy.llm.frames import table
 from odonymy.llm.tokens import public_path
 from odonymy.session import ship
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.find(table(spark, sf_dir, "documents")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(jaccard_join.similar(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.digest(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
