@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from odonymy.llm import rules
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -47,3 +49,35 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, y.b FROM
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
 """
+
+_COMMON = [*rules.COMMON]
+_KEEP = {k: v.replace("'", "''") for k, v in rules.CLASSES.items()}
+_PLAIN = "regexp_replace(t, '{}', '', 'g')"
+_JS = "list_sum(list_transform(list_zip(p, q), lambda x: 0.5 * (CASE WHEN x[1] > 0 THEN x[1] * log2(2 * x[1] / (x[1] + x[2])) ELSE 0 END + CASE WHEN x[2] > 0 THEN x[2] * log2(2 * x[2] / (x[1] + x[2])) ELSE 0 END)))"
+_SHARE = "list_transform({0}, lambda x: x / list_sum({0}))"
+
+
+def _nearest(column: str, width: int) -> str:
+    sums = ", ".join(f"sum({column}[{i}])" for i in range(1, width + 1))
+    return f"""(SELECT doc_id, sqrt(greatest(min({_JS}), 0)) AS {column}_distance FROM
+      (SELECT doc_id, {_SHARE.format(column)} AS p FROM c WHERE list_sum({column}) > 0), (SELECT {_SHARE.format("s")} AS q FROM (SELECT [{sums}] AS s FROM c WHERE lang IS NOT NULL GROUP BY lang)) GROUP BY doc_id)"""
+
+
+SQL["op10_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{_SPACED}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM d),
+win AS (SELECT doc_id, i, w[i:i + 7] AS k FROM b, LATERAL (SELECT unnest(range(1, len(w) - 6)) AS i)),
+twice AS (SELECT doc_id, k FROM win GROUP BY doc_id, k HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM win JOIN twice USING (doc_id, k), LATERAL (SELECT unnest(range(i, i + 8)) AS p) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(t) AS n_all, length({_PLAIN.format(rules.SPACES)})::BIGINT AS word_chars,
+        {", ".join(f"length({_PLAIN.format(p)}) AS {k}" for k, p in _KEEP.items())},
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        [{", ".join(f"len(list_filter(w, lambda x: x = '{x}'))" for x in _COMMON)}] AS known FROM b),
+c AS (SELECT doc_id, lang, n_words, word_chars, symbol::BIGINT AS n_symbols, n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+        [word_chars - upper - digit - symbol - mark, n_all - word_chars, upper, digit, symbol, mark]::DOUBLE[] AS chars,
+        list_concat([n_words - list_sum(known)], known)::DOUBLE[] AS common,
+        n_words < 20 OR 100 * coalesce(n, 0) > 30 * n_words AS base_failed FROM m LEFT JOIN rep USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(word_chars >= 100 AND chars_distance > {rules.CHAR_LIMIT}, false) AND NOT coalesce(n_words >= 50 AND common_distance > {rules.WORD_LIMIT}, false) AS kept
+FROM c LEFT JOIN {_nearest("chars", 6)} USING (doc_id) LEFT JOIN {_nearest("common", 1 + len(_COMMON))} USING (doc_id)
+"""

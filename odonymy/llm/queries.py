@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odonymy.llm import decontaminate, jaccard_join, language, oracles, packing, quality, repair_codec, substring_dedup, toxicity
+from odonymy.llm import decontaminate, jaccard_join, language, oracles, packing, quality, repair_codec, rules, substring_dedup, toxicity
 from odonymy.llm.frames import table
 from odonymy.llm.tokens import public_path
 from odonymy.session import ship
@@ -48,6 +48,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(language.predict(docs, language.fit(docs)))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.digest(rules.judge(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _shipped(f) for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
