@@ -7,10 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from odonymy.llm import decontaminate, jaccard_join, language, oracles, packing, quality, repair_codec, rules, substring_dedup, toxicity
+from odonymy.llm import decontaminate, jaccard_join, language, oracles, packing, quality, repair_codec, rules, substring_dedup, token_rollup, toxicity
 from odonymy.llm.frames import table
 from odonymy.llm.tokens import public_path
-from odonymy.session import ship
+from odonymy.session import scratch_path, ship
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.replay(table(spark, sf_dir, "documents"), scratch_path(spark, "rollup"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(jaccard_join.similar(table(spark, sf_dir, "documents")))
 
