@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id and lie in ascending order within a file
 ``shard_tokens`` ids or so form a shard with a grammar of its own, so memory and the work to
 write or read a shard are bounded. The grammar is Re-Pair: the most frequent adjacent pairs
 of symbols are replaced by new symbols, again and again, until no pair occurs ``min_count``
-times. Each round counts exactly the pairs among the 1023 most frequent symbols (a pair is
+times or a round takes away less than ``least_gain`` of the symbols. Each round counts exactly the pairs among the 1023 most frequent symbols (a pair is
 never more frequent than its symbols) and replaces up to ``batch`` pairs at once; where
 chosen pairs overlap, every other one of the chain is taken.
 
@@ -38,15 +38,13 @@ STEP = 1024
 FILE = "part int, seq int, n_ids long, doc_ids binary, no_id binary, doc_sizes binary, base int, rules binary, rule_sizes binary, symbols binary, positions binary"
 
 
-def compress(ids: np.ndarray, min_count: int = 24, batch: int = 256, rounds: int = 24) -> tuple[np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, min_count: int = 24, batch: int = 1024, least_gain: float = 0.005) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules as rows of two symbols, first rule's symbol)."""
     seq = ids.astype(np.int32)
     base = int(seq.max()) + 1 if len(seq) else 1
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         freq = np.bincount(seq, minlength=base + made)
         top = np.argsort(-freq, kind="stable")[: TOP - 1]
         rank = np.full(base + made, TOP - 1, np.int32)
@@ -70,12 +68,15 @@ def compress(ids: np.ndarray, min_count: int = 24, batch: int = 256, rounds: int
         head[1:] = at[1:] != at[:-1] + 1
         chain = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at = at[chain % 2 == 0]
+        gain = len(at) / len(seq)
         seq[at] = new[at]
         left = np.ones(len(seq), bool)
         left[at + 1] = False
         seq = seq[left]
         rules.append(np.stack([top[best // TOP], top[best % TOP]], 1))
         made += len(best)
+        if gain < least_gain:
+            break
     return seq, np.concatenate(rules).astype(np.int32) if rules else np.zeros((0, 2), np.int32), base
 
 

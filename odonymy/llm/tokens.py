@@ -13,6 +13,7 @@ The memory is bounded: it is emptied when it holds ``limit`` units, which change
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from collections.abc import Sequence
 
@@ -35,6 +36,9 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
+# The alphabet of byte-level BPE: printable bytes stand for themselves, others for U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_ALPHABET = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 HASH = Hasher(71)
 HASH.values = np.random.default_rng(71).integers(0, 1 << 64, MARK + 1, U64)
 
@@ -43,10 +47,12 @@ class Encoder:
     """Ids of texts, with id 0 appended to each."""
 
     def __init__(self, path: str, limit: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.words = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))  # small letters, white space dropped
         self.limit, self.bits = limit, max(10, (2 * limit).bit_length())
         self._empty()
 
@@ -85,9 +91,26 @@ class Encoder:
             todo = todo[lost[todo]]
             at[todo] = (at[todo] + 1) & mask
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of units. A unit without white space inside, apostrophes or (for words) digits is one
+        pre-token, which goes to the tokenizer's model at once, in the byte alphabet it works on."""
+        out: list = [None] * len(texts)
+        tokenize, whole = self.tokenizer.model.tokenize, []
+        for i, text in enumerate(texts):
+            core = text[1:] if text[0] == " " else text
+            if not core or "'" in core or core[0] in " \n\t" or len(core.split()) != 1 or core[-1].isspace() or core[0].isspace() or (self.words and not core.isalpha() and any(CLASS[min(ord(c), RARE)] == DIGIT for c in core)) or (len(core) > 1 and core[0].isalpha() != core[-1].isalpha()) or max(core) >= "\u0130":
+                whole.append(i)
+                continue
+            unit = core.lower() if self.words else text
+            out[i] = [t.id for t in tokenize(unit.encode().decode("latin-1").translate(BYTE_ALPHABET))]
+        if whole:
+            for i, got in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+                out[i] = got.ids
+        return out
+
     def _encode(self, texts: list[str]) -> None:
         """Appends the ids of units in order."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = self._ids(texts)
         size = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
         while self.used + len(flat) > len(self.flat):
