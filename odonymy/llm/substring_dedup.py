@@ -211,9 +211,11 @@ def _arrays(rows: list[dict]) -> tuple[np.ndarray, ...]:
 def _level(level: DataFrame, span: int, base: bool, length: int, buckets: int, keep_text: bool) -> DataFrame:
     """One level: which named windows repeat, what that removes (on the length's own level), and the next level's names."""
 
-    def list_names(table: pa.Table) -> pa.Table:
-        docs, _, hi, lo = _arrays(table.select(["docs", "pos", "hi", "lo"]).to_pylist())
-        return entry_table(list(entries(table.column("block")[0].as_py(), buckets, hi, lo, docs)))
+    def list_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():  # a block's names are one row
+                docs, _, hi, lo = _arrays([row])
+                yield from entry_table(list(entries(row["block"], buckets, hi, lo, docs))).to_batches()
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -250,7 +252,7 @@ def _level(level: DataFrame, span: int, base: bool, length: int, buckets: int, k
             out.append({"docs": planes(docs[a]), "pos": planes(pos[a]), "hi": planes(FIRST.runs(two, 4, start)), "lo": planes((SECOND.runs(two, 4, start) >> U64(32)).astype(np.uint32)), "owner": b""})
         return pa.Table.from_pylist([r | {"block": left.column("block")[0].as_py()} for r in out], STATE_TYPES)
 
-    listed = level.where("docs is not null").select("block", "docs", "pos", "hi", "lo").groupBy("block").applyInArrow(list_names, ENTRIES)
+    listed = level.where("docs is not null").select("block", "docs", "pos", "hi", "lo").mapInArrow(list_names, ENTRIES)
     back = replies(listed)
     return level.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(settle, STATE)
 
