@@ -122,19 +122,19 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.street_points(_streets(spark, sf_dir), ways)
 
 
-@query(f"WITH RECURSIVE {o.POINTS_SQL} SELECT street_id, norm_name, round(lon, 6) AS lon, round(lat, 6) AS lat FROM points")
+@query(f"WITH RECURSIVE {o.POINTS_SQL} SELECT street_id, norm_name, round(lon, 9) AS lon, round(lat, 9) AS lat FROM points")
 def street_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _points(spark, sf_dir).select("street_id", "norm_name", _r("lon"), _r("lat"))
+    return _points(spark, sf_dir).select("street_id", "norm_name", _r("lon", 9), _r("lat", 9))
 
 
-@query(f"WITH {o.WAYS_SQL}, m AS (SELECT name, node_ids[len(node_ids) // 2 + 1] AS n FROM ways WHERE lower(name) LIKE '%1' AND lower(name) NOT LIKE 'piazza %') SELECT name, round(7.0 + (n * 7919) % 10007 / 1000.0::DOUBLE, 6) AS lon, round(37.0 + (n * 104729) % 10009 / 1000.0::DOUBLE, 6) AS lat FROM m")
+@query(f"WITH {o.WAYS_SQL}, m AS (SELECT name, node_ids[len(node_ids) // 2 + 1] AS n FROM ways WHERE lower(name) LIKE '%1' AND lower(name) NOT LIKE 'piazza %') SELECT name, round(7.0 + (n * 7919) % 10007 / 1000.0::DOUBLE, 9) AS lon, round(37.0 + (n * 104729) % 10009 / 1000.0::DOUBLE, 9) AS lat FROM m")
 def matched_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.matched_ways(o.ways(spark, sf_dir), ["%1"], ["Piazza %"]).select("name", _r("lon"), _r("lat"))
+    return points.matched_ways(o.ways(spark, sf_dir), ["%1"], ["Piazza %"]).select("name", _r("lon", 9), _r("lat", 9))
 
 
-@query("SELECT 'Piazza ' || s_name AS name, round(7.0 + (s_suppkey * 7919) % 10007 / 1000.0::DOUBLE, 6) AS lon, round(37.0 + (s_suppkey * 104729) % 10009 / 1000.0::DOUBLE, 6) AS lat FROM supplier WHERE s_name LIKE '%3'")
+@query("SELECT 'Piazza ' || s_name AS name, round(7.0 + (s_suppkey * 7919) % 10007 / 1000.0::DOUBLE, 9) AS lon, round(37.0 + (s_suppkey * 104729) % 10009 / 1000.0::DOUBLE, 9) AS lat FROM supplier WHERE s_name LIKE '%3'")
 def matched_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points.matched_squares(o.squares(spark, sf_dir), ["piazza %3"]).select("name", _r("lon"), _r("lat"))
+    return points.matched_squares(o.squares(spark, sf_dir), ["piazza %3"]).select("name", _r("lon", 9), _r("lat", 9))
 
 
 _TM = geo.TransverseMercator()
@@ -195,7 +195,7 @@ def region_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KPI_SQL = f"""{o.POINTS_SQL}, {_tm_sql()}, {o.AREAS_SQL},
-placed AS (SELECT norm_name, area_seq, name FROM points JOIN (SELECT * FROM areas WHERE admin_level = '4') ON {o.INSIDE}),
+placed AS (SELECT street_id, norm_name, min(area_seq) AS area_seq, min_by(name, area_seq) AS name FROM points JOIN (SELECT * FROM areas WHERE admin_level = '4') ON {o.INSIDE} GROUP BY 1, 2),
 cnt AS (SELECT norm_name, area_seq, name, count(*) AS n FROM placed GROUP BY 1, 2, 3),
 al AS (SELECT area_seq, sum(n) AS all_n FROM cnt GROUP BY 1),
 sh AS (SELECT *, n / all_n AS share, sum(n) OVER (PARTITION BY norm_name) AS nn, (SELECT sum(n) FROM cnt) AS pl FROM cnt JOIN al USING (area_seq)),
@@ -205,19 +205,19 @@ reg AS (SELECT norm_name, max(CASE WHEN top = 1 THEN name END) AS top_region, ma
 b AS (SELECT norm_name, count(*)::BIGINT AS count, avg(lon) AS mean_lon, avg(lat) AS mean_lat, sqrt(var_pop(x) + var_pop(y)) / 1000 AS std_distance_km FROM metric GROUP BY 1 HAVING count(*) > 5),
 k AS (SELECT * FROM b LEFT JOIN reg USING (norm_name)),
 u AS (SELECT *, {", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN max({c}) OVER () = min({c}) OVER () THEN 0 ELSE {'1 - ' * inv}({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END AS u{i}" for i, (c, inv) in enumerate((("std_distance_km", 1), ("top_region_lq", 0), ("top_region_share", 0), ("effective_regions", 1), ("region_gini", 0))))} FROM k)
-SELECT norm_name, count, round(mean_lon, 6) AS mean_lon, round(mean_lat, 6) AS mean_lat, round(std_distance_km, 6) AS std_distance_km, top_region, round(top_region_lq, 6) AS top_region_lq, round(top_region_share, 6) AS top_region_share, round(effective_regions, 6) AS effective_regions, round(region_gini, 6) AS region_gini,
+SELECT norm_name, count, round(mean_lon, 9) AS mean_lon, round(mean_lat, 9) AS mean_lat, round(std_distance_km, 6) AS std_distance_km, top_region, round(top_region_lq, 6) AS top_region_lq, round(top_region_share, 6) AS top_region_share, round(effective_regions, 6) AS effective_regions, round(region_gini, 6) AS region_gini,
 round(coalesce(list_avg(list_filter([u0, u1, u2, u3, u4], lambda x: x IS NOT NULL)), 0), 6) AS skew_score FROM u"""
 
 
 @query(f"WITH RECURSIVE {_KPI_SQL}")
 def name_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stats.kpis(_points(spark, sf_dir), 5, None, o.areas(spark, sf_dir))
-    return found.select("norm_name", "count", *(c if c == "top_region" else _r(c) for c in stats.KPI_COLUMNS[2:]))
+    return found.select("norm_name", "count", *(c if c == "top_region" else _r(c, 9 if c.startswith("mean") else 6) for c in stats.KPI_COLUMNS[2:]))
 
 
-@query(f"WITH RECURSIVE {o.POINTS_SQL}, {_tm_sql()} SELECT norm_name, count(*)::BIGINT AS count, round(avg(lon), 6) AS mean_lon, round(avg(lat), 6) AS mean_lat, round(sqrt(var_pop(x) + var_pop(y)) / 1000, 6) AS std_distance_km FROM metric GROUP BY 1 HAVING count(*) > 5")
+@query(f"WITH RECURSIVE {o.POINTS_SQL}, {_tm_sql()} SELECT norm_name, count(*)::BIGINT AS count, round(avg(lon), 9) AS mean_lon, round(avg(lat), 9) AS mean_lat, round(sqrt(var_pop(x) + var_pop(y)) / 1000, 6) AS std_distance_km FROM metric GROUP BY 1 HAVING count(*) > 5")
 def name_kpis_without_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.kpis(_points(spark, sf_dir), 5).select("norm_name", "count", _r("mean_lon"), _r("mean_lat"), _r("std_distance_km"))
+    return stats.kpis(_points(spark, sf_dir), 5).select("norm_name", "count", _r("mean_lon", 9), _r("mean_lat", 9), _r("std_distance_km"))
 
 
 @query(f"WITH {o.LINES_SQL} SELECT a, b FROM gap WHERE d <= {THRESHOLD}")

@@ -45,15 +45,19 @@ def near_segments(ways: DataFrame, radius: float, projection: Projection, keep:
     box = {"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")}
     seg = seg.select("*", *(c.alias(k) for k, c in box.items()))
 
-    def dealt(name: str, wide: float) -> DataFrame:
-        rows = seg.select("norm_name", F.struct(*seg.columns[1:]).alias(name), (F.col("x0") - wide).alias("u0"), (F.col("x1") + wide).alias("u1"), (F.col("y0") - wide).alias("v0"), (F.col("y1") + wide).alias("v1"))
-        rows = rows.select("norm_name", name, "u0", "v0", "v1", F.explode(_cells("u0", "u1", size)).alias("cx"))
-        return rows.select("norm_name", name, F.floor(F.col("u0") / size).alias(f"{name}_x"), F.floor(F.col("v0") / size).alias(f"{name}_y"), "cx", F.explode(_cells("v0", "v1", size)).alias("cy"))
+    fields = [*keep, "pos", *cut, *box]
+
+    def dealt(side: str, wide: float) -> DataFrame:
+        rows = seg.select("norm_name", *(F.col(c).alias(f"{side}_{c}") for c in fields), *((F.col(f"{k}0") - wide).alias(f"{side}_lo_{k}") for k in "xy"), *((F.col(f"{k}1") + wide).alias(f"{side}_hi_{k}") for k in "xy"))
+        for k in "xy":
+            rows = rows.withColumn(f"c{k}", F.explode(_cells(f"{side}_lo_{k}", f"{side}_hi_{k}", size)))
+        return rows
 
     both = dealt("s", 0.0).join(dealt("t", radius), ["norm_name", "cx", "cy"])
-    first = (F.col("cx") == F.greatest("s_x", "t_x")) & (F.col("cy") == F.greatest("s_y", "t_y"))
-    apart = lambda k: F.greatest(F.col(f"s.{k}0") - F.col(f"t.{k}1"), F.col(f"t.{k}0") - F.col(f"s.{k}1"))
-    return both.where(first & (F.col("s.way_id") < F.col("t.way_id")) & (apart("x") <= radius) & (apart("y") <= radius)).select("norm_name", "s", "t")
+    corner = lambda k: F.col(f"c{k}") == F.greatest(F.floor(F.col(f"s_lo_{k}") / size), F.floor(F.col(f"t_lo_{k}") / size))
+    apart = lambda k: F.greatest(F.col(f"s_{k}0") - F.col(f"t_{k}1"), F.col(f"t_{k}0") - F.col(f"s_{k}1"))
+    both = both.where(corner("x") & corner("y") & (F.col("s_way_id") < F.col("t_way_id")) & (apart("x") <= radius) & (apart("y") <= radius))
+    return both.select("norm_name", *(F.struct(*(F.col(f"{side}_{c}").alias(c) for c in fields)).alias(side) for side in "st"))
 
 
 def distance_edges(ways: DataFrame, threshold: float, projection: Projection) -> DataFrame:

@@ -93,9 +93,9 @@ ways AS (SELECT way_id, CASE way_id % 4 WHEN 0 THEN 'Via ' WHEN 1 THEN 'Viale -
 STREETS_SQL = (
     WAYS_SQL
     + """,
-at AS (SELECT DISTINCT norm_name, way_id, unnest(node_ids) AS node FROM ways),
-hub AS (SELECT norm_name, node, min(way_id) AS h FROM at GROUP BY 1, 2),
-e AS (SELECT DISTINCT way_id AS a, h AS b FROM at JOIN hub USING (norm_name, node)),
+atn AS (SELECT DISTINCT norm_name, way_id, unnest(node_ids) AS node FROM ways),
+hub AS (SELECT norm_name, node, min(way_id) AS h FROM atn GROUP BY 1, 2),
+e AS (SELECT DISTINCT way_id AS a, h AS b FROM atn JOIN hub USING (norm_name, node)),
 e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, b) AS (SELECT way_id, way_id FROM ways UNION SELECT r.a, x.b FROM reach r JOIN e2 x ON r.b = x.a),
 labelled AS (SELECT w.*, c AS component FROM ways w JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON way_id = a),
@@ -120,12 +120,12 @@ LINES_SQL = """
 v AS (SELECT l_orderkey AS way_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS p FROM lineitem GROUP BY 1),
 l AS (SELECT way_id, 'g' || (o_custkey % 100) AS norm_name, p, len(p) AS n FROM v JOIN orders ON way_id = o_orderkey),
 pt AS (SELECT way_id, norm_name, n, i, p[i] AS node, ((way_id * 7919) % 199 * 50 + (p[i] * 31) % 101)::DOUBLE AS x, ((way_id * 104729) % 211 * 50 + (p[i] * 17) % 103)::DOUBLE AS y FROM l, LATERAL (SELECT unnest(range(1, n + 1)) AS i)),
-seg AS (SELECT a.way_id, a.norm_name, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM pt a JOIN pt b ON a.way_id = b.way_id AND b.i = a.i + 1),
-near AS (SELECT s.norm_name, s.way_id AS a, t.way_id AS b, s.ax, s.ay, s.bx, s.by, t.ax AS cx, t.ay AS cy, t.bx AS dx, t.by AS dy FROM seg s JOIN seg t ON s.norm_name = t.norm_name AND s.way_id < t.way_id
-         AND greatest(least(s.ax, s.bx) - greatest(t.ax, t.bx), least(t.ax, t.bx) - greatest(s.ax, s.bx)) <= 201 AND greatest(least(s.ay, s.by) - greatest(t.ay, t.by), least(t.ay, t.by) - greatest(s.ay, s.by)) <= 201),
-foot AS (SELECT norm_name, a, b, CASE WHEN sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)) * sign((bx - ax) * (dy - ay) - (by - ay) * (dx - ax)) < 0
-           AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (by - cy) - (dy - cy) * (bx - cx)) < 0 THEN 0
-         ELSE least(p2s(ax, ay, cx, cy, dx, dy), p2s(bx, by, cx, cy, dx, dy), p2s(cx, cy, ax, ay, bx, by), p2s(dx, dy, ax, ay, bx, by)) END AS d2 FROM near),
+seg AS (SELECT a.way_id, a.norm_name, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM pt a JOIN pt b ON a.way_id = b.way_id AND b.i = a.i + 1),
+near AS (SELECT s.norm_name, s.way_id AS a, t.way_id AS b, s.ax, s.ay, s.ex, s.ey, t.ax AS cx, t.ay AS cy, t.ex AS dx, t.ey AS dy FROM seg s JOIN seg t ON s.norm_name = t.norm_name AND s.way_id < t.way_id
+         AND greatest(least(s.ax, s.ex) - greatest(t.ax, t.ex), least(t.ax, t.ex) - greatest(s.ax, s.ex)) <= 201 AND greatest(least(s.ay, s.ey) - greatest(t.ay, t.ey), least(t.ay, t.ey) - greatest(s.ay, s.ey)) <= 201),
+foot AS (SELECT norm_name, a, b, CASE WHEN sign((ex - ax) * (cy - ay) - (ey - ay) * (cx - ax)) * sign((ex - ax) * (dy - ay) - (ey - ay) * (dx - ax)) < 0
+           AND sign((dx - cx) * (ay - cy) - (dy - cy) * (ax - cx)) * sign((dx - cx) * (ey - cy) - (dy - cy) * (ex - cx)) < 0 THEN 0
+         ELSE least(p2s(ax, ay, cx, cy, dx, dy), p2s(ex, ey, cx, cy, dx, dy), p2s(cx, cy, ax, ay, ex, ey), p2s(dx, dy, ax, ay, ex, ey)) END AS d2 FROM near),
 gap AS (SELECT norm_name, a, b, sqrt(min(d2)) AS d FROM foot GROUP BY 1, 2, 3)"""
 
 
