@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text worked on at once; a longer text is worked on alone, whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -81,24 +81,25 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+#: Multipliers for bytes and for words, one table of powers each in a process.
+BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
+
+
 class Hasher:
-    """Hashes of byte ranges and of runs of words; seeds give independent functions."""
+    """Hashes of byte ranges and of runs of words; the random values of a seed give independent functions."""
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        odd = lambda: int(rng.integers(1 << 62, 1 << 63)) * 2 + 5 & ~2 | 1
-        self.values = rng.integers(0, 1 << 64, 256, U64)
-        self.bytes, self.words = Powers(odd()), Powers(odd())
+        self.values = np.random.default_rng(seed).integers(0, 1 << 64, 256, U64)
 
     def ranges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self.bytes.upto(len(data) + 1)
+        up, down = BYTE_POWERS.upto(len(data) + 1)
         total = np.zeros(len(data) + 1, U64)
         np.cumsum(self.values[data] * up[:-1], out=total[1:])
         return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
     def runs(self, words: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
         """Hash of the n words from each position in ``at``."""
-        up, down = self.words.upto(len(words) + 1)
+        up, down = WORD_POWERS.upto(len(words) + 1)
         total = np.zeros(len(words) + 1, U64)
         np.cumsum(words * up[:-1], out=total[1:])
         return mix((total[at + n] - total[at]) * down[at] + U64(n))
