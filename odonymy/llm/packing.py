@@ -4,10 +4,10 @@ Each text is encoded whole, ended by id 0 and, only if longer than a sequence, c
 pieces. Full pieces are sequences of their own. The others are dealt by hash into shards of
 about ``shard_tokens`` tokens (thousands of sequences; a shard's waste is at most about one
 sequence), and each shard is packed by itself: best fit on pieces in descending size, then a
-local search over the underfull bins. It tries to relocate the contents of the emptiest bin:
-moving a piece into another bin, exchanging one piece for a smaller one, or two pieces for a
-smaller one. Every step takes place only if the receiving bin is at least as full, so the sum
-of squared fills rises with every step, until bins fall empty and are dropped.
+local search over the underfull bins, the emptiest first: moving a piece into another bin,
+exchanging one piece for a smaller one, or two pieces for a smaller one. Every step takes place
+only if the receiving bin is at least as full, so the sum of squared fills rises with every
+step, until bins fall empty and are dropped.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each for
 itself (their pieces have equal doc_id and piece); an empty table gives no rows; null ids are
@@ -73,80 +73,70 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], room: int, passes: int = 4) -> list[list[int]]:
-    """Local search; see the module's text. Returns the bins that are left."""
-    bins = [b for b in bins if b]
+def improve(bins: list[list[int]], sizes: list[int], room: int, passes: int = 6) -> list[list[int]]:
+    """Local search; see the module's text. Returns the bins that are left.
+
+    Ends when there are as few bins as the total allows, when a pass finds no step, or after ``passes``.
+    """
+    bins = [list(b) for b in bins if b]
+    size = np.array(sizes, np.int64)
+    least = -(-int(size.sum()) // room)
     for _ in range(passes):
-        fill = np.array([sum(sizes[i] for i in b) for b in bins], np.int64)
-        order = np.argsort(fill, kind="stable")
-        spare = int((room - fill).sum())
-        emptied = moved = 0
-        for a in order.tolist():
-            if fill[a] >= room or fill[a] > spare - (room - fill[a]):
-                break  # the free space of all other bins cannot take this one
-            # What the others hold, as one array: only bins at least as full receive.
-            to = np.flatnonzero((fill >= fill[a]) & (fill < room))
-            to = to[to != a]
-            owner = np.array([b for b in to.tolist() for _ in bins[b]], np.int64)
-            piece = np.array([i for b in to.tolist() for i in bins[b]], np.int64)
-            size = np.array([sizes[i] for i in piece.tolist()], np.int64)
-            if not len(piece):
-                break
-            changed = _empty_into(a, bins, sizes, fill, room, to, owner, piece, size)
-            moved += changed
-            if not bins[a]:
-                spare -= room
-                emptied += 1
-            elif not changed or emptied + 1 > len(bins):
-                break
+        if len(bins) <= least:
+            break
+        fill = np.array([size[b].sum() for b in bins])
+        # Full bins have nothing to gain; what the others hold, as arrays that steps keep up to date.
+        under = np.flatnonzero(fill < room)
+        piece = np.array([i for b in under.tolist() for i in bins[b]], np.int64)
+        owner = np.repeat(under, [len(bins[b]) for b in under.tolist()])
+        steps = 0
+        for a in under[np.argsort(fill[under], kind="stable")].tolist():
+            while (step := _step(a, fill, room, piece, owner, size)) is not None:
+                gone, to, back = step
+                owner[gone] = to
+                change = int(size[piece[gone]].sum())
+                if back is not None:
+                    owner[back] = a
+                    change -= int(size[piece[back]])
+                fill[to] += change
+                fill[a] -= change
+                steps += 1
+        for b in under.tolist():
+            bins[b] = []
+        for i, b in zip(piece.tolist(), owner.tolist(), strict=True):
+            bins[b].append(i)
         bins = [b for b in bins if b]
-        if not emptied or not moved:
+        if not steps:
             break
     return bins
 
 
-def _empty_into(a: int, bins: list[list[int]], sizes: list[int], fill: np.ndarray, room: int, to: np.ndarray, owner: np.ndarray, piece: np.ndarray, size: np.ndarray) -> int:
-    """Moves and exchanges out of bin ``a`` while they fill other bins further; how many."""
-    done = 0
-
-    def put(gone: list[int], b: int, back: int | None) -> None:
-        nonlocal done
-        for i in gone:
-            bins[a].remove(i)
-        bins[b] += gone
-        change = sum(sizes[i] for i in gone)
-        if back is not None:
-            bins[b].remove(int(piece[back]))
-            bins[a].append(int(piece[back]))
-            change -= int(size[back])
-            owner[back] = -1  # used once in a round
-        fill[b] += change
-        fill[a] -= change
-        done += 1
-
-    for _ in range(4 * len(bins[a]) + 8):
-        if not bins[a]:
-            break
-        x = sorted(bins[a], key=lambda i: -sizes[i])
-        moves = [(i, t) for i in x for t in [np.flatnonzero((room - fill[to] >= sizes[i]) & (fill[to] >= fill[a]))] if len(t)]
-        if moves:
-            i, t = moves[0]
-            put([i], int(to[t[np.argmin(room - fill[to[t]])]]), None)
-            continue
-        rest = np.where(owner >= 0, room - fill[owner], -1)
-        live = (owner >= 0) & (rest > 0) & (fill[owner] >= fill[a])
-        best: tuple[int, list[int], int] | None = None
-        for gone in [[i] for i in x] + [[i, j] for n, i in enumerate(x[:6]) for j in x[n + 1 : 6]]:
-            s = sum(sizes[i] for i in gone)
-            ok = np.flatnonzero(live & (size < s) & (s <= size + rest))
-            if len(ok):
-                k = int(ok[np.argmin(size[ok])])
-                if best is None or s - int(size[k]) > best[0]:
-                    best = (s - int(size[k]), gone, k)
-        if best is None:
-            break
-        put(best[1], int(owner[best[2]]), best[2])
-    return done
+def _step(a: int, fill: np.ndarray, room: int, piece: np.ndarray, owner: np.ndarray, size: np.ndarray) -> tuple[list[int], int, int | None] | None:
+    """The best move or exchange out of bin ``a``: (places of what goes, bin, place of what comes back).
+
+    Receiving bins are at least as full and grow, so the sum of squared fills rises. Moves come before
+    exchanges, and what fills the receiver most comes first.
+    """
+    mine = np.flatnonzero(owner == a)
+    if not len(mine):
+        return None
+    mine = mine[np.argsort(-size[piece[mine]], kind="stable")]
+    held, rest = size[piece], room - fill[owner]
+    able = (owner != a) & (fill[owner] >= fill[a]) & (rest > 0)
+    for m in mine.tolist():
+        ok = np.flatnonzero(able & (rest >= held[m]))
+        if len(ok):
+            return [m], int(owner[ok[np.argmin(rest[ok])]]), None
+    best, found = 0, None
+    few = mine[:8].tolist()
+    for gone in [[m] for m in mine.tolist()] + [[m, k] for j, m in enumerate(few) for k in few[j + 1 :]]:
+        s = int(held[gone].sum())
+        ok = np.flatnonzero(able & (held < s) & (s <= held + rest))
+        if len(ok):
+            back = int(ok[np.argmin(held[ok])])
+            if s - int(held[back]) > best:
+                best, found = s - int(held[back]), (gone, int(owner[back]), back)
+    return found
 
 
 def pack(found: DataFrame, length: int = 2048, shard_tokens: int = 8_000_000) -> DataFrame:
