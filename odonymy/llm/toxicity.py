@@ -9,8 +9,8 @@ scores then locate the offending ones.
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased; sentences end at
 . ! ? and line feeds. The model is fitted on the driver by full-batch Adagrad with an L1
 penalty, on at most ``sample`` labelled documents (whole texts); a word seen in fewer than
-``min_df`` of them, or not ``lift`` times as often toxic as all, has no weight. The bias stays at -9 or less: thousands of sentences without
-evidence then leave a document clean. With no positive or no negative example every sentence gets
+``min_df`` of them, or not ``lift`` times as often toxic as all, has no weight. A sentence without a weighted word has probability 0, so
+any number of such sentences leaves a document clean. With no positive or no negative example every sentence gets
 the base rate.
 
 Defined cases: null, empty or wordless texts have no sentence with a word and score the
@@ -71,14 +71,17 @@ def bags(column: pa.Array) -> Bags:
 class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32))
     bias: float = -20.0
+    blank: float = 0.0  # of sentences without a weighted word
 
     def sentences(self, b: Bags) -> np.ndarray:
         """Probability of each sentence; a word counts once in a sentence."""
         heavy = np.flatnonzero(self.weights[b.feature])
         key = (b.word_sentence[heavy] << BITS) | b.feature[heavy]
         key = np.unique(key)
-        z = np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], len(b.sentence_bounds) - 1)
-        return 1 / (1 + np.exp(-(z + self.bias)))
+        n = len(b.sentence_bounds) - 1
+        z = np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], n)
+        evidence = np.bincount(key >> BITS, minlength=n) > 0
+        return np.where(evidence, 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30))), self.blank)
 
     def documents(self, b: Bags) -> np.ndarray:
         """Noisy-or over each document's sentences."""
@@ -113,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int =
     counts = rows.agg(F.count("*"), F.coalesce(F.sum((F.col("y") > 0).cast("int")), F.lit(0))).first()
     model = Model()
     if not counts[0] or counts[1] in (0, counts[0]):
-        model.bias = float(np.log((counts[1] + 1) / (counts[0] - counts[1] + 1)) - 2) if counts[0] else model.bias
+        model.blank = (counts[1] + 1) / (counts[0] + 2) if counts[0] else 0.0
         return model
     tally = rows.mapInArrow(_tally, "k long, n long, p long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
     tally = tally.where((F.col("n") >= min_df) & (F.col("p") >= lift * counts[1] / counts[0] * F.col("n")))
@@ -137,11 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_df: int =
     sentence = np.concatenate([x + o for x, o in zip(sent, base.tolist(), strict=True)]).astype(np.int64)
     col = np.concatenate(feat)
     n, docs_of = int(per.sum()), np.repeat(np.arange(len(y)), per)
+    evidence = np.bincount(sentence, minlength=n) > 0
     theta, bias = np.zeros(len(ids)), -10.0
     seen, seen_b, rate = np.full(len(ids), 1e-8), 1e-8, 0.5
     for _ in range(rounds):
         z = np.bincount(sentence, theta[col], n) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = np.where(evidence, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
         clean = np.bincount(docs_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
         whole = np.clip(1 - np.exp(clean), 1e-9, 1)
         g = p * np.where(y > 0, -(1 - whole) / whole, 1.0)[docs_of] / len(y)
