@@ -19,16 +19,16 @@ def _hits(points: DataFrame, areas: DataFrame, cell: float = 0.25) -> DataFrame:
     """Point and area columns of each point an area covers, borders included.
 
     An area lists the grid cells of its box, a point has one; the join is on the cell, whatever the
-    number of areas, and the polygon test runs on what shares a cell. Spark sends the area side to
-    all executors if it is small and shuffles both sides otherwise.
+    number of areas. Only then the polygons come in, by area_seq, so a large one is not copied for
+    each of its cells, and the exact test runs on what shares a box.
     """
     span = lambda k: F.sequence(F.floor(F.col(f"box.{k}0") / cell), F.floor(F.col(f"box.{k}1") / cell))
-    listed = areas.withColumn("box", geo.bounds(F.col("geometry"))).where("box.x0 is not null")
+    listed = areas.select("area_seq", geo.bounds(F.col("geometry")).alias("box")).where("box.x0 is not null")
     listed = listed.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
     dealt = points.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
-    near = dealt.join(listed, ["cx", "cy"])
     in_box = F.col("lon").between(F.col("box.x0"), F.col("box.x1")) & F.col("lat").between(F.col("box.y0"), F.col("box.y1"))
-    return near.where(in_box & geo.covers(F.col("geometry"), F.col("lon"), F.col("lat")))
+    near = dealt.join(listed, ["cx", "cy"]).where(in_box).drop("cx", "cy", "box")
+    return near.join(areas, "area_seq").where(geo.covers(F.col("geometry"), F.col("lon"), F.col("lat")))
 
 
 def flagged(areas: DataFrame, points: DataFrame) -> DataFrame:

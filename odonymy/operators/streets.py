@@ -6,7 +6,7 @@ exist per norm_name only; two ways of different norm_name never join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odonymy.functions import geo
@@ -18,8 +18,9 @@ Projection = geo.Identity | geo.TransverseMercator
 def node_edges(ways: DataFrame) -> DataFrame:
     """Certain join: each way of a group with the least way of the group at each of its nodes (a star, not all pairs)."""
     at = ways.select("norm_name", "way_id", F.explode(F.array_distinct("node_ids")).alias("node"))
-    hub = at.groupBy("norm_name", "node").agg(F.min("way_id").alias("hub"), F.collect_set("way_id").alias("w")).where(F.size("w") > 1)
-    return hub.select("hub", F.explode("w").alias("way_id")).where("hub <> way_id").select(F.col("hub").alias("a"), F.col("way_id").alias("b")).distinct()
+    # One shuffle; a node's ways pass by (and spill if they must), they are never one row.
+    hub = F.min("way_id").over(Window.partitionBy("norm_name", "node"))
+    return at.select(hub.alias("a"), F.col("way_id").alias("b")).where("a <> b").distinct()
 
 
 def _cells(lo: str, hi: str, size: float):
@@ -76,9 +77,15 @@ def components(ways: DataFrame, threshold: float | None = None, projection: Proj
     return ways.join(label, ways["way_id"] == label["id"], "left").select(ways["*"], F.coalesce("component", "way_id").alias("component"))
 
 
+def _most_frequent(rows: DataFrame) -> DataFrame:
+    """(norm_name, name): counted per name first, so no key's names stand in one buffer."""
+    counted = rows.groupBy("norm_name", "name").agg((-F.count("*")).alias("n"))
+    return counted.groupBy("norm_name").agg(F.min(F.struct("n", "name"))["name"].alias("name"))
+
+
 def display_names(ways: DataFrame) -> DataFrame:
     """Most frequent raw name of each group's ways, the least on ties: (norm_name, name)."""
-    return ways.groupBy("norm_name").agg(F.mode("name", True).alias("name"))
+    return _most_frequent(ways)
 
 
 def streets(labelled: DataFrame) -> DataFrame:
@@ -98,7 +105,7 @@ def top_groups(groups: DataFrame, limit: int = 10) -> DataFrame:
 
 def street_display_names(streets_: DataFrame) -> DataFrame:
     """Most frequent street name of each key, the least on ties."""
-    return streets_.groupBy("norm_name").agg(F.mode("name", True).alias("name"))
+    return _most_frequent(streets_)
 
 
 def near_misses(ways: DataFrame, threshold: float, projection: Projection | None = None) -> DataFrame:
