@@ -56,11 +56,18 @@ def counts(docs: DataFrame) -> DataFrame:
     rest = F.col("word_chars") - sum((F.col(k) for k in CLASSES), F.lit(0))
     known_sum = F.aggregate("known", F.lit(0), lambda a, x: a + x)
     as_long = lambda name: F.col(name).cast("long").alias(name)
-    return rows.select(
+    rows = rows.select(
         "doc_id", "lang", as_long("n_words"), as_long("word_chars"), F.col("symbol").cast("long").alias("n_symbols"), as_long("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.array(rest.cast("double"), (F.col("all") - F.col("word_chars")).cast("double"), *(F.col(k).cast("double") for k in CLASSES)).alias("chars"),
         F.concat(F.array((F.col("n_words") - known_sum).cast("double")), F.transform("known", lambda x: x.cast("double"))).alias("common"),
     )
+    return rows.select("*", _share("chars").alias("chars_share"), _share("common").alias("common_share"))
+
+
+def _share(column: str) -> Column:
+    """A count array as shares; null if all are zero."""
+    total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(column, lambda x: x / total))
 
 
 def references(counted: DataFrame, column: str, width: int, languages: int = 200) -> list[list[float]]:
@@ -76,9 +83,7 @@ def references(counted: DataFrame, column: str, width: int, languages: int = 200
 
 
 def distance(column: str, refs: list[list[float]]) -> Column:
-    """Least Jensen-Shannon distance of a count array to the references; null without any."""
-    total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
-    share = F.transform(column, lambda x: x / total)
+    """Least Jensen-Shannon distance of an array of shares to the references; null without any."""
 
     def term(p: Column, q: Column) -> Column:
         m = (p + q) / 2
@@ -88,15 +93,15 @@ def distance(column: str, refs: list[list[float]]) -> Column:
     if not refs:
         return F.lit(None).cast("double")
     literal = F.array(*(F.array(*map(F.lit, r)) for r in refs))
-    each = F.transform(literal, lambda r: F.aggregate(F.zip_with(share, r, term), F.lit(0.0), lambda a, x: a + x))
-    return F.when(total > 0, F.sqrt(F.greatest(F.array_min(each), F.lit(0.0))))
+    each = F.transform(literal, lambda r: F.aggregate(F.zip_with(column, r, term), F.lit(0.0), lambda a, x: a + x))
+    return F.when(F.col(column).isNotNull(), F.sqrt(F.greatest(F.array_min(each), F.lit(0.0))))
 
 
 def judge(docs: DataFrame, min_chars: int = 100, min_words: int = 50) -> DataFrame:
     """Base counts, both distances, base_failed and kept of every document."""
     counted = materialize(counts(docs), "rule-counts")
-    char = distance("chars", references(counted, "chars", 2 + len(CLASSES)))
-    word = distance("common", references(counted, "common", 1 + len(COMMON)))
+    char = distance("chars_share", references(counted, "chars", 2 + len(CLASSES)))
+    word = distance("common_share", references(counted, "common", 1 + len(COMMON)))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), char.alias("char_distance"), word.alias("word_distance"))
     far = ((F.col("word_chars") >= min_chars) & (F.col("char_distance") > CHAR_LIMIT)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > WORD_LIMIT))
