@@ -29,6 +29,7 @@ from odonymy.session import materialize
 
 # Frequent function words of English, German, French and Spanish.
 COMMON = ["the", "of", "and", "to", "in", "is", "that", "for", "der", "die", "und", "das", "den", "mit", "von", "zu", "le", "la", "les", "et", "des", "est", "en", "que", "el", "los", "de", "y", "con", "por", "se", "del"]
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[: len(COMMON)]
 SPACES = r"[\x20\x09-\x0D]+"
 #: What each character class keeps of a text; letters and all else are the rest.
 CLASSES = {"upper": r"[^\p{Lu}]+", "digit": r"[^\p{Nd}]+", "symbol": r"[^#*$%&|<>]+", "mark": r"[^!\"'()+,\-./:;=?@\[\\\]^_`{}~]+"}
@@ -45,8 +46,13 @@ def counts(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "lang", F.filter(F.split("text", SPACES), lambda x: x != "").alias("w"), lines.alias("lines"), F.length("text").alias("all"), F.length(F.regexp_replace("text", SPACES, "")).alias("word_chars"), *(v.alias(k) for k, v in kept.items()))
     n = F.size("w")
     starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-    common = [n - F.size(F.array_remove("w", F.lit(x))) for x in COMMON]
-    rows = rows.select("doc_id", "lang", n.alias("n_words"), "word_chars", "all", *CLASSES, (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.array(*common).alias("known"), F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, WINDOW))).alias("win"))
+    # Each word's place in the list as a letter (a blank for none): a word costs one look-up, a list entry
+    # one pass over a short string.
+    letter = lambda x: F.substring(F.lit(" " + LETTERS), F.find_in_set(x, F.lit(",".join(COMMON))) + 1, F.lit(1))
+    rows = rows.select("doc_id", "lang", n.alias("n_words"), "word_chars", "all", *CLASSES, (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), starts.alias("starts"), F.array_join(F.transform("w", letter), "").alias("codes"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    n = F.col("n_words")
+    common = [n - F.length(F.replace("codes", F.lit(c), F.lit(""))) for c in LETTERS]
+    rows = rows.select("doc_id", "lang", "n_words", "word_chars", "all", *CLASSES, "n_dup_lines", F.array(*common).alias("known"), F.transform("starts", lambda i: F.xxhash64(F.slice("w", i, WINDOW))).alias("win"))
     # Only texts with a repeated window are sorted.
     pairs = F.array_sort(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     rows = rows.withColumn("s", F.when(F.size(F.array_distinct("win")) < F.size("win"), pairs)).drop("win")
