@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from odonymy.session import discard, materialize
@@ -26,6 +26,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The edges in the shared folder, with their number and a digest observed while they are written."""
+    watch = Observation()
+    out = materialize(edges.observe(watch, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges")
+    return out, watch.get
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Labels each vertex that has an edge with the least vertex it can reach: (id, component).
 
@@ -36,16 +43,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     x, y = F.col(a), F.col(b)
     now = edges.where(x.isNotNull() & y.isNotNull() & (x != y))
-    now = materialize(now.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct(), "edges")
-    spread = F.bit_xor(F.xxhash64("a", "b"))
-    seen = now.agg(F.count("*"), spread).first()
+    now, seen = _written(now.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
     for _ in range(max_rounds):
-        if not seen[0]:
+        if not seen["n"]:
             break
-        new = materialize(_star(_star(now, True), False), "edges")
+        new, then = _written(_star(_star(now, True), False))
         discard(now)
-        now, before = new, seen
-        seen = now.agg(F.count("*"), spread).first()
+        now, before, seen = new, seen, then
         if seen == before:
             break
     else:
