@@ -26,10 +26,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """The edges in the shared folder, with their number and a digest observed while they are written."""
+def _written(edges: DataFrame, before: int | None = None) -> tuple[DataFrame, dict]:
+    """The edges in the shared folder, with their number and a digest observed while they are written.
+
+    before: edges of the round before, of which there is a file for each quarter million.
+    """
     watch = Observation()
-    out = materialize(edges.observe(watch, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges")
+    out = materialize(edges.observe(watch, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "edges", None if before is None else max(8, before // 250_000))
     return out, watch.get
 
 
@@ -47,7 +50,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not seen["n"]:
             break
-        new, then = _written(_star(_star(now, True), False))
+        new, then = _written(_star(_star(now, True), False), seen["n"])
         discard(now)
         now, before, seen = new, seen, then
         if seen == before:

@@ -26,6 +26,7 @@ def get_spark(app: str = "odonymy", **conf: str) -> SparkSession:
 
 
 _own_root: list[str] = []
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -42,10 +43,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    files: how many at most, for results known to be small; the last stage then has as many tasks.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -58,10 +62,18 @@ def discard(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
+    """Sends this package to the executors' Python workers, once per application, and keeps the workers small.
+
+    Rows of text are large: batches of a thousand are enough (only Spark's default is changed). Worker
+    processes give freed arrays back to the system.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     context = spark.sparkContext
     if getattr(context, "_odonymy_shipped", False):
         return
+    for name, value in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(4 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(16 << 20))):
+        context.environment.setdefault(name, value)
     package = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="odonymy-zip-"), "odonymy.zip")
     with zipfile.ZipFile(archive, "w") as z:
