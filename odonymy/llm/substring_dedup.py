@@ -91,7 +91,7 @@ def _dealt(docs: DataFrame, reps: DataFrame, blocks: int) -> tuple[DataFrame, Da
     return rows, reps.select(block_of("doc_id", blocks).alias("block"), "doc_id", "h")
 
 
-def find(docs: DataFrame, length: int = 13, keep_text: bool = False, block_bytes: int = 6 << 20, levels: int = 64) -> DataFrame:
+def find(docs: DataFrame, length: int = 13, keep_text: bool = False, block_bytes: int = 3 << 20, levels: int = 64) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, kept_text (if asked for), and longest, the greatest level length at which a window of it starts in a smaller id (0: none)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = max(24, -(-text_bytes(docs) // block_bytes))
@@ -176,7 +176,9 @@ def find(docs: DataFrame, length: int = 13, keep_text: bool = False, block_bytes
     level, span, longest = state.where("kept_sha256 is null"), length, None
     spare = [half, reps]
     while span <= length << levels:
-        found = materialize(_level(level, span, span == length, length, buckets, keep_text), "dedup-level")
+        # Later levels are a row or two for each block, without texts: few files are enough.
+        files = None if span == length else max(8, blocks // 24)
+        found = materialize(_level(level, span, span == length, length, buckets, keep_text), "dedup-level", files)
         if span == length:
             done = done.union(found.where("doc_id is not null"))
         mark = found.where("removed is not null").select("removed")
