@@ -193,7 +193,7 @@ def links_within(sets: list[np.ndarray], ids: list[int], percent: int, side: lis
     return out
 
 
-def similar(docs: DataFrame, size: int = 3, percent: int = 90, block_bytes: int = 6 << 20, cap: int = 100_000) -> DataFrame:
+def similar(docs: DataFrame, size: int = 3, percent: int = 90, block_bytes: int = 3 << 20, cap: int = 100_000) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the least id it reaches by links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = max(24, -(-text_bytes(docs) // block_bytes))
