@@ -79,8 +79,8 @@ def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw names with diacritics: the first forty characters of each document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("name"))
+    """Raw names with diacritics: the whole text of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name"))
 
 
 WAYS_SQL = """
