@@ -11,9 +11,10 @@ Base counts: characters in words, symbols, lines equal to an earlier line, words
 windows that occur twice or more; a document fails the base with fewer than 20 words or with
 more than 30 % of its words in repeated windows.
 
-Texts are read once: counts go to a narrow table in the shared folder, references (a row for
-each of the ``languages`` most frequent languages, the bound on what reaches the driver) are
-sums of it.
+Texts are read once: counts go to a narrow table in the shared folder, references (a small
+table with a row for each language) are sums of it. Documents are compared with ``block``
+references at a time, the bound on what reaches the driver; with more languages each block is
+a pass over the counts that keeps the least distance so far.
 
 Defined cases: null, empty and wordless texts have zero counts and fail the base; a corpus
 without references passes every document that the base passes; repeated rows are judged alike
@@ -22,10 +23,12 @@ without references passes every document that the base passes; repeated rows are
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from odonymy.session import materialize
+from odonymy.session import discard, materialize
 
 # Frequent function words of English, German, French and Spanish.
 COMMON = ["the", "of", "and", "to", "in", "is", "that", "for", "der", "die", "und", "das", "den", "mit", "von", "zu", "le", "la", "les", "et", "des", "est", "en", "que", "el", "los", "de", "y", "con", "por", "se", "del"]
@@ -35,6 +38,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 CLASSES = {"upper": r"[^\p{Lu}]+", "digit": r"[^\p{Nd}]+", "symbol": r"[^#*$%&|<>]+", "mark": r"[^!\"'()+,\-./:;=?@\[\\\]^_`{}~]+"}
 WINDOW = 8
 CHAR_LIMIT, WORD_LIMIT = 0.25, 0.25
+#: Histograms and their numbers of bins.
+WIDTHS = {"chars": 2 + len(CLASSES), "common": 1 + len(COMMON)}
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -76,16 +81,12 @@ def _share(column: str) -> Column:
     return F.when(total > 0, F.transform(column, lambda x: x / total))
 
 
-def references(counted: DataFrame, column: str, width: int, languages: int = 200) -> list[list[float]]:
-    """Share of each bin for the most frequent languages, from all their documents."""
-    sums = [F.sum(F.get(column, F.lit(i))).alias(f"b{i}") for i in range(width)]
-    top = counted.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *sums).orderBy(F.desc("n"), "lang").limit(languages)
-    out = []
-    for row in top.collect():
-        total = sum(row[f"b{i}"] for i in range(width))
-        if total:
-            out.append([row[f"b{i}"] / total for i in range(width)])
-    return out
+def references(counted: DataFrame) -> DataFrame:
+    """A row for each language: shares of its bins from all its documents (null if all are zero)."""
+    sums = [F.sum(F.get(column, F.lit(i))).alias(f"{column}{i}") for column, width in WIDTHS.items() for i in range(width)]
+    rows = counted.where("lang is not null").groupBy("lang").agg(*sums)
+    rows = rows.select("lang", *(F.array(*(f"{column}{i}" for i in range(width))).alias(column) for column, width in WIDTHS.items()))
+    return rows.select("lang", *(_share(column).alias(column) for column in WIDTHS))
 
 
 def distance(column: str, refs: list[list[float]]) -> Column:
@@ -103,13 +104,30 @@ def distance(column: str, refs: list[list[float]]) -> Column:
     return F.when(F.col(column).isNotNull(), F.sqrt(F.greatest(F.array_min(each), F.lit(0.0))))
 
 
-def judge(docs: DataFrame, min_chars: int = 100, min_words: int = 50) -> DataFrame:
+def nearest(counted: DataFrame, block: int) -> DataFrame:
+    """``counted`` with its least distances to all references, ``block`` of them at a time."""
+    none = F.lit(None).cast("double")
+    rows = counted.drop(*WIDTHS).withColumns({"char_distance": none, "word_distance": none})
+    refs = materialize(references(counted), "rule-references")
+    left, old = refs.toLocalIterator(), counted
+    part = list(islice(left, block))
+    while part:
+        char, word = (distance(f"{column}_share", [row[column] for row in part if row[column]]) for column in WIDTHS)
+        rows = rows.withColumns({"char_distance": F.least("char_distance", char), "word_distance": F.least("word_distance", word)})
+        part = list(islice(left, block))
+        if part:
+            rows = materialize(rows, "rule-distances")
+            discard(old)
+            old = rows
+    discard(refs)
+    return rows
+
+
+def judge(docs: DataFrame, min_chars: int = 100, min_words: int = 50, block: int = 200) -> DataFrame:
     """Base counts, both distances, base_failed and kept of every document."""
-    counted = materialize(counts(docs), "rule-counts")
-    char = distance("chars_share", references(counted, "chars", 2 + len(CLASSES)))
-    word = distance("common_share", references(counted, "common", 1 + len(COMMON)))
+    counted = nearest(materialize(counts(docs), "rule-counts"), block)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), char.alias("char_distance"), word.alias("word_distance"))
+    rows = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "char_distance", "word_distance")
     far = ((F.col("word_chars") >= min_chars) & (F.col("char_distance") > CHAR_LIMIT)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > WORD_LIMIT))
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
 

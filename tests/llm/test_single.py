@@ -138,6 +138,16 @@ def test_rules_on_nothing_and_without_languages(frame):
     assert got[0].kept is True
 
 
+def test_every_language_is_a_reference(spark):
+    plain, loud = " ".join(f"word{chr(97 + i % 26)}" for i in range(60)), " ".join(f"{1000 + i}" for i in range(60))
+    rows = [(2 * i + j, plain, f"l{i:03d}") for i in range(203) for j in range(2)] + [(9000, loud, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert len(found) == len(rows) and found[9000].kept and found[9000].char_distance == 0
+    by_blocks = {r.doc_id: r for r in rules.judge(docs, block=70).collect()}
+    assert by_blocks == found
+
+
 @pytest.fixture
 def rollup(spark, tmp_path):
     return token_rollup.Rollup(spark, str(tmp_path / "roll"))
