@@ -129,7 +129,7 @@ def replay(docs: DataFrame, path: str) -> DataFrame:
     roll = Rollup(spark, path)
     rows = materialize(counted(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "token-counts")  # texts are read once
     early = rows.withColumn("n_tokens", F.when(F.col("doc_id") % 5 == 0, F.floor(F.col("n_tokens") / 2)).otherwise(F.col("n_tokens")).cast("long"))
-    part = F.coalesce(F.col("doc_id"), F.lit(0)) % 4
+    part = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(4))  # negative ids too fall into 0 to 3
     for k in range(4):
         roll.commit(f"insert-{k}", inserted(early.where(part == k)))
     roll.commit("insert-1", inserted(early.where(part == 1)))

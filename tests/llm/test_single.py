@@ -187,6 +187,13 @@ def test_rollup_ignores_half_written_batches(spark, rollup):
     assert totals(rollup) == [("a", "en", "v1", 2, 20)]
 
 
+def test_replay_counts_negative_and_null_ids(spark, tmp_path):
+    rows = [(d, "a b c", "en", "s") for d in [*range(-40, 40), -(2**63), 2**63 - 1, None]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = token_rollup.replay(docs, str(tmp_path / "replay")).collect()
+    assert {r.tokenizer_version: (r.n_docs, r.n_tokens) for r in got} == {v: (len(rows), 3 * len(rows)) for v in token_rollup.COUNTERS}
+
+
 def test_counters(frame):
     got = {(r.doc_id, r.tokenizer_version): r.n_tokens for r in token_rollup.counted(frame([(1, "Don't x-y été 12!"), (2, None), (3, "")])).collect()}
     assert got == {(1, "words-1"): 4, (1, "pieces-1"): 9, (2, "words-1"): 0, (2, "pieces-1"): 0, (3, "words-1"): 0, (3, "pieces-1"): 0}
