@@ -94,6 +94,15 @@ def test_one_of_each_class_stays(frame, corpus):
     assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
 
 
+def test_repeated_rows_without_a_smaller_copy_stay_once(spark):
+    text, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, text), (3, text), (3, text), (5, text), (7, other), (7, other), (8, None), (8, None), (9, "x y"), (None, text), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = jaccard_join.keep_one(docs)
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(3, text), (7, other), (8, None), (9, "x y"), (None, text), (None, text)], key=str) and kept.columns == docs.columns
+
+
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog and more words"), (2, "short item"), (3, "word"), (4, None), (5, " ,. "), (None, "quick brown"), (6, "ÉTÉ été x9 ÿ"), (2, "another text of item two")]
 
 
