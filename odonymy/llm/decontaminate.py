@@ -12,7 +12,8 @@ is verified first by hash, then word by word on the bytes.
 
 The benchmark side is sent to the executors in blocks of at most ``block_windows`` windows
 (about 100 bytes each), so what is broadcast has a fixed size; with more than one block each
-one is a pass over the documents and hits are merged per document.
+one is a pass over the documents and hits are merged per row (by id, nulls alike, and a hash of
+the text, so rows of one id do not share hits).
 
 Defined cases: null or wordless texts and items have no words and no windows; a repeated
 item_id unites its texts' windows; null ids are kept as null document ids and ignored as
@@ -21,6 +22,7 @@ item ids; an empty benchmark hits nothing; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from odonymy.llm.text import NONWORD, Hasher, chunks, words_of
 
 HASH = Hasher(81)
-SCHEMA = "doc_id long, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>"
+SCHEMA = "doc_id long, sha string, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>"
+COLUMNS = ["doc_id", "n_words", "hit_spans", "item_ids"]
 
 
 def _member(sorted_keys: np.ndarray, filt: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,14 +154,31 @@ def _one_block(docs: DataFrame, find: Matcher) -> DataFrame:
                 spans[d].append((s - int(w.bounds[d]), e - int(w.bounds[d])))
                 ids[d].update(find.windows[i][1])
             n = part.num_rows
-            yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(w.bounds)), pa.array([_merge(spans[i]) if i in spans else [] for i in range(n)], typ), pa.array([sorted(ids[i]) if i in ids else [] for i in range(n)], pa.list_(pa.string()))], ["doc_id", "n_words", "hit_spans", "item_ids"])
+            yield pa.record_batch([part.column("doc_id"), part.column("sha"), pa.array(np.diff(w.bounds)), pa.array([_merge(spans[i]) if i in spans else [] for i in range(n)], typ), pa.array([sorted(ids[i]) if i in ids else [] for i in range(n)], pa.list_(pa.string()))], ["doc_id", "sha", "n_words", "hit_spans", "item_ids"])
 
     return docs.mapInArrow(run, SCHEMA)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_words, hit_spans (word ranges inside windows, merged), item_ids (sorted as strings)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = _passes(docs, benchmark, size, id_col, text_col, item_col, item_text_col, block_windows)
+    if len(found) == 1:
+        return found[0].select(*COLUMNS)
+    # Each pass has all documents; only those with hits and the first pass's counts go on. Exact copies of a
+    # row have the same hits: one of them is enough.
+    hits = functools.reduce(DataFrame.union, (f.select("doc_id", "sha", "hit_spans", "item_ids").where("size(item_ids) > 0") for f in found)).distinct()
+    merged = hits.groupBy("doc_id", "sha").agg(F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
+    fold = F.aggregate("s", F.expr("cast(array() as array<struct<start:long,end:long>>)"), lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.element_at(a, -1)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
+    empty = F.expr("cast(array() as array<string>)")
+    rows, merged = found[0].select("doc_id", "sha", "n_words"), merged.select(F.col("doc_id").alias("hit_id"), F.col("sha").alias("hit_sha"), fold.alias("hit_spans"), "i")
+    rows = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sha") == F.col("hit_sha")), "left")
+    return rows.select("doc_id", "n_words", F.coalesce("hit_spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("hit_spans"), F.coalesce("i", empty).alias("item_ids"))
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000) -> list[DataFrame]:
+    """All rows with a hash of their text and their hits, once for each benchmark block."""
+    text = F.col(text_col)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null")
     found, block, known, left = [], {}, {}, 0
 
@@ -174,16 +194,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
             block.setdefault(w, set()).update(ids)
         known |= words
     close()
-    if len(found) == 1:
-        return found[0]
-    # Each pass has all documents; only those with hits and the first pass's counts go on.
-    hits = found[0].select("doc_id", "hit_spans", "item_ids").where("size(item_ids) > 0")
-    for f in found[1:]:
-        hits = hits.union(f.select("doc_id", "hit_spans", "item_ids").where("size(item_ids) > 0"))
-    merged = hits.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
-    fold = F.aggregate("s", F.expr("cast(array() as array<struct<start:long,end:long>>)"), lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.element_at(a, -1)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
-    empty = F.expr("cast(array() as array<string>)")
-    return found[0].select("doc_id", "n_words").join(merged.select("doc_id", fold.alias("hit_spans"), "i"), "doc_id", "left").select("doc_id", "n_words", F.coalesce("hit_spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("hit_spans"), F.coalesce("i", empty).alias("item_ids"))
+    return found
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -196,7 +207,10 @@ def sha_of(ids: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_windows: int = 200_000) -> DataFrame:
     """Documents without any benchmark window, with their own columns."""
-    bad = contamination(docs, benchmark, size).where("size(item_ids) > 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    hits = functools.reduce(DataFrame.union, (f.where("size(item_ids) > 0").select("doc_id", "sha") for f in _passes(docs, benchmark, size, block_windows=block_windows)))
+    bad = hits.select(F.col("doc_id").alias("hit_id"), F.col("sha").alias("hit_sha")).distinct()
+    # By id (null too) and text: rows without an id go as well, other texts of the same id stay.
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["hit_id"]) & (F.sha2(docs["text"].cast("binary"), 256) == bad["hit_sha"])
+    return docs.join(bad, same, "left_anti")

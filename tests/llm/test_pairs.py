@@ -129,6 +129,17 @@ def test_clean_documents_stay(spark, frame):
     assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, items).collect()) == [2, 3]
 
 
+@pytest.mark.parametrize("block", [200_000, 1])
+def test_rows_without_id_and_rows_of_one_id_have_their_own_hits(spark, frame, block):
+    items = spark.createDataFrame([(1, "short item"), (2, "other piece")], "item_id long, text string")
+    rows = [(None, "a short item"), (None, "clean"), (4, "an other piece of short item"), (4, "nothing here"), (4, "short item"), (5, None), (None, None), (6, "other piece"), (6, "other piece")]
+    want = [0 if "short item" not in (t or "") and "other piece" not in (t or "") else 4 if t.startswith("an") else 2 for _, t in rows]
+    got = decontaminate.digest(decontaminate.contamination(frame(rows), items, block_windows=block)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == sorted((str(d), len((t or "").split()), n) for (d, t), n in zip(rows, want, strict=True))
+    clean = decontaminate.remove_contaminated(frame(rows), items, block_windows=block).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted([x for x, n in zip(rows, want, strict=True) if not n], key=str)
+
+
 def test_exchange_lists_each_key_once():
     hi, lo, owner, many = exchange.distinct_keys(np.array([5, 5, 7, 5], U64), np.array([1, 1, 0, 2], np.uint32), np.array([9, 4, 3, 3]))
     assert (hi.tolist(), lo.tolist(), owner.tolist(), many.tolist()) == ([5, 5, 7], [1, 2, 0], [4, 3, 3], [True, False, False])
