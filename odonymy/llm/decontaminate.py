@@ -11,9 +11,10 @@ bound); the place must lie in the document with its full length (length bound).
 is verified first by hash, then word by word on the bytes.
 
 The benchmark side is sent to the executors in blocks of at most ``block_windows`` windows
-(about 100 bytes each), so what is broadcast has a fixed size; with more than one block each
-one is a pass over the documents and hits are merged per row (by id, nulls alike, and a hash of
-the text, so rows of one id do not share hits).
+(about 100 bytes each; a long item's windows are spread over blocks), so what is broadcast has a
+fixed size. With more than one block each one is a pass over the documents; its hits go to the
+shared folder before the next block is read, and are merged per row (by id, nulls alike, and a
+hash of the text, so rows of one id do not share hits).
 
 Defined cases: null or wordless texts and items have no words and no windows; a repeated
 item_id unites its texts' windows; null ids are kept as null document ids and ignored as
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odonymy.llm.text import NONWORD, Hasher, chunks, words_of
+from odonymy.session import materialize
 
 HASH = Hasher(81)
 SCHEMA = "doc_id long, sha string, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<string>"
@@ -54,20 +56,30 @@ def _filter(keys: np.ndarray) -> np.ndarray:
     return filt
 
 
-def item_windows(items: list[tuple[object, str | None]], size: int) -> tuple[dict[tuple[bytes, ...], set], dict[bytes, int]]:
-    """Windows with the ids they stand for, and a hash of each word."""
-    windows: dict[tuple[bytes, ...], set] = defaultdict(set)
+def item_windows(ident: object, text: str, size: int) -> Iterator[tuple[tuple[bytes, ...], str, dict[bytes, int]]]:
+    """Each window of an item with the item's id as text and the hashes of its words."""
+    w = words_of(pa.array([text]), lower=True, gap=NONWORD)
+    raw, name = w.data.tobytes(), str(ident)
+    words = [raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+    hashes = HASH.ranges(w.data, w.starts, w.ends).tolist()
+    for i in range(max(1, len(words) - size + 1) if words else 0):
+        yield tuple(words[i : i + size]), name, dict(zip(words[i : i + size], hashes[i : i + size], strict=True))
+
+
+def window_blocks(items: Iterator[tuple[object, str]], size: int, most: int) -> Iterator[tuple[dict[tuple[bytes, ...], set], dict[bytes, int]]]:
+    """The benchmark's windows with the ids they stand for, and a hash of each word, ``most`` windows at a time; one block at least."""
+    block: dict[tuple[bytes, ...], set] = defaultdict(set)
     known: dict[bytes, int] = {}
+    full = False
     for ident, text in items:
-        if ident is None or text is None:
-            continue
-        w = words_of(pa.array([text]), lower=True, gap=NONWORD)
-        raw = w.data.tobytes()
-        words = [raw[s:e] for s, e in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-        known.update(zip(words, HASH.ranges(w.data, w.starts, w.ends).tolist(), strict=True))
-        for i in range(max(1, len(words) - size + 1) if words else 0):
-            windows[tuple(words[i : i + size])].add(str(ident))
-    return windows, known
+        for window, name, hashes in item_windows(ident, text, size):
+            if len(block) >= most and window not in block:
+                yield block, known
+                block, known, full = defaultdict(set), {}, True
+            block[window].add(name)
+            known |= hashes
+    if block or not full:
+        yield block, known
 
 
 def word_counts(docs: DataFrame, words: dict[bytes, int], text_col: str) -> dict[int, int]:
@@ -161,40 +173,34 @@ def _one_block(docs: DataFrame, find: Matcher) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_words, hit_spans (word ranges inside windows, merged), item_ids (sorted as strings)."""
-    found = _passes(docs, benchmark, size, id_col, text_col, item_col, item_text_col, block_windows)
-    if len(found) == 1:
-        return found[0].select(*COLUMNS)
-    # Each pass has all documents; only those with hits and the first pass's counts go on. Exact copies of a
-    # row have the same hits: one of them is enough.
-    hits = functools.reduce(DataFrame.union, (f.select("doc_id", "sha", "hit_spans", "item_ids").where("size(item_ids) > 0") for f in found)).distinct()
+    first, later = _passes(docs, benchmark, size, id_col, text_col, item_col, item_text_col, block_windows)
+    if not later:
+        return first.select(*COLUMNS)
+    # Only rows with hits were written. Exact copies of a row have the same hits: one of them is enough.
+    hits = functools.reduce(DataFrame.union, later).distinct()
     merged = hits.groupBy("doc_id", "sha").agg(F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
     fold = F.aggregate("s", F.expr("cast(array() as array<struct<start:long,end:long>>)"), lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.element_at(a, -1)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
     empty = F.expr("cast(array() as array<string>)")
-    rows, merged = found[0].select("doc_id", "sha", "n_words"), merged.select(F.col("doc_id").alias("hit_id"), F.col("sha").alias("hit_sha"), fold.alias("hit_spans"), "i")
+    rows, merged = first.select("doc_id", "sha", "n_words"), merged.select(F.col("doc_id").alias("hit_id"), F.col("sha").alias("hit_sha"), fold.alias("hit_spans"), "i")
     rows = rows.join(merged, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("sha") == F.col("hit_sha")), "left")
     return rows.select("doc_id", "n_words", F.coalesce("hit_spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("hit_spans"), F.coalesce("i", empty).alias("item_ids"))
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000) -> list[DataFrame]:
-    """All rows with a hash of their text and their hits, once for each benchmark block."""
+def _passes(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000) -> tuple[DataFrame, list[DataFrame]]:
+    """(all rows with a hash of their text and their hits by the last block; with more than one block, each block's rows with hits)."""
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("i is not null and t is not null")
-    found, block, known, left = [], {}, {}, 0
-
-    def close() -> None:
-        found.append(_one_block(docs, Matcher(block, known, word_counts(docs, known, "text"))))
-
-    for row in items.toLocalIterator():
-        more, words = item_windows([(row.i, row.t)], size)
-        if block and len(block) + len(more) > block_windows:
-            close()
-            block, known = {}, {}
-        for w, ids in more.items():
-            block.setdefault(w, set()).update(ids)
-        known |= words
-    close()
-    return found
+    blocks = window_blocks(((r.i, r.t) for r in items.toLocalIterator()), size, block_windows)
+    written: list[DataFrame] = []
+    block, after = next(blocks), next(blocks, None)
+    while True:
+        found = _one_block(docs, Matcher(*block, word_counts(docs, block[1], "text")))
+        if after is not None or written:
+            written.append(materialize(found.where("size(item_ids) > 0").select("doc_id", "sha", "hit_spans", "item_ids"), "benchmark-hits"))
+        if after is None:
+            return found, written
+        block, after = after, next(blocks, None)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -209,7 +215,8 @@ def sha_of(ids: list[str]) -> str:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_windows: int = 200_000) -> DataFrame:
     """Documents without any benchmark window, with their own columns."""
-    hits = functools.reduce(DataFrame.union, (f.where("size(item_ids) > 0").select("doc_id", "sha") for f in _passes(docs, benchmark, size, block_windows=block_windows)))
+    first, later = _passes(docs, benchmark, size, block_windows=block_windows)
+    hits = functools.reduce(DataFrame.union, later) if later else first.where("size(item_ids) > 0")
     bad = hits.select(F.col("doc_id").alias("hit_id"), F.col("sha").alias("hit_sha")).distinct()
     # By id (null too) and text: rows without an id go as well, other texts of the same id stay.
     same = docs["doc_id"].cast("long").eqNullSafe(bad["hit_id"]) & (F.sha2(docs["text"].cast("binary"), 256) == bad["hit_sha"])
