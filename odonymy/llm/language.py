@@ -8,9 +8,9 @@ language of the centroid with the largest cosine. Rejection by distance: a text
 lies under its centroid's ``reject`` quantile of training cosines is marked ``rejected`` (its
 nearest language is still given).
 
-Centroids and frequencies are fitted on about ``per_language`` texts of each language (whole
-texts, chosen by hash of the id), so the sample is bounded by that times the number of
-languages.
+Centroids and frequencies are fitted on at most ``sample`` texts, about ``per_language`` of each
+language or fewer if there are many languages (whole texts, one for an id, chosen by hash of the
+id). With more than ``languages`` values of `lang` the most frequent ones are learned.
 
 Defined cases: texts that are null or hold no letter get `und`, score 0 and are rejected; with no labelled
 text at all every text is `und`; repeated documents count as often as they occur; further
@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from odonymy.llm.frames import id_remainder
+from odonymy.llm.samples import one_text
 from odonymy.llm.text import LOWER, NONWORD, chunks, utf8
 
 BITS = 12
@@ -100,20 +101,24 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12, seed: int = 9) -> np.ndarra
     return centres
 
 
-def fit(docs: DataFrame, per_language: int = 700, k: int = 4, reject: float = 0.01, modulus: int = 5, held: int = 0) -> Model:
+def fit(docs: DataFrame, per_language: int = 700, k: int = 4, reject: float = 0.01, modulus: int = 5, held: int = 0, languages: int = 500, sample: int = 12_000) -> Model:
     """Fits centroids from text and language of documents whose id is not held out."""
-    rows = docs.where("lang is not null and text is not null and doc_id is not null").where(id_remainder("doc_id", modulus) != held)
-    # A language's share of ids under a hash threshold gives about per_language texts, without a sort.
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)) / float(1 << 30)
-    ids = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(part < F.col("share"))
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("text", "lang")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = rows.where("lang is not null and text is not null and doc_id is not null").where(id_remainder("doc_id", modulus) != held)
+    # A language's share of ids under a hash threshold gives about as many texts as it may have, without a sort.
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    per = F.least(F.lit(per_language), F.lit(sample) / F.greatest(F.count("*").over(Window.partitionBy(F.lit(0))), F.lit(1)))
+    share = counted.select("lang", F.least(F.lit(1.0), per / F.col("n")).alias("share"))  # at most ``languages`` rows
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    ids = rows.select("doc_id", "lang").join(F.broadcast(share), "lang").where(place < F.col("share"))
+    ids = ids.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = one_text(docs, ids, "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in chunks(batches):
             yield pa.record_batch([p.column("lang"), pa.array([v.astype(np.float16).tobytes() for v in counts(p.column("text"))], pa.binary())], ["lang", "v"])
 
-    got = sample.mapInArrow(run, "lang string, v binary").toArrow()
+    got = texts.mapInArrow(run, "lang string, v binary").toArrow()
     if not got.num_rows:
         return Model([], np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0))
     x = np.frombuffer(b"".join(got.column("v").to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)
