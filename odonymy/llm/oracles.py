@@ -82,10 +82,3 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT coalesce(word_chars >= 100 AND chars_distance > {rules.CHAR_LIMIT}, false) AND NOT coalesce(n_words >= 50 AND common_distance > {rules.WORD_LIMIT}, false) AS kept
 FROM c LEFT JOIN {_nearest("chars", 6)} USING (doc_id) LEFT JOIN {_nearest("common", 1 + len(_COMMON))} USING (doc_id)
 """
-
-SQL["op3_token_counts"] = rf"""
-WITH t AS (SELECT source, lang, coalesce(text, '') AS t FROM documents),
-c AS (SELECT source, lang, 'words-1' AS tokenizer_version, len(regexp_extract_all(t, '{_SPACED}')) AS n FROM t
-      UNION ALL SELECT source, lang, 'pieces-1', len(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[!-/:-@\[-`{{-~]')) FROM t)
-SELECT source, lang, tokenizer_version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM c GROUP BY ALL
-"""

@@ -5,44 +5,62 @@ and revised counts - becomes additive deltas: an insert adds, a delete takes awa
 takes the old count away and adds the new one. Deltas are summed within the batch before they
 are written, so a hot source is a few rows.
 
-Commits are idempotent: a batch is written under its id, as one folder that replaces itself
-when the batch is sent again, and counts only if Spark's own success mark is there; a batch
-that failed half-way or ran twice therefore counts once. ``compact`` folds committed batches into a new
-snapshot that names them; a batch that comes again after that is recognized and left alone.
-Totals are the snapshot plus the committed deltas not in it.
-
-Tokenizer versions are columns of counts computed by expressions (``COUNTERS``), so further
-versions can be added; a batch may bring any of them.
+Commits are idempotent: an attempt at a batch is a folder of its own under the batch's id and counts
+only if Spark's own success mark is there. A batch with such an attempt is not written again; if
+two attempts succeed at the same time, the one with the least name counts. So a batch that failed
+half-way, was sent again or ran twice counts once, and nothing committed is ever overwritten.
+``compact`` (one at a time) folds the batches it lists into a new snapshot that names just these;
+a batch that comes again after that is recognized and left alone. What a snapshot replaces is
+deleted by the compaction after it, so readers that began before go on. Totals are the snapshot
+plus the committed deltas not in it. The ids of folded batches stay a table and are never
+collected; the driver lists only the batches since the last compaction but one.
+
+Tokenizer versions are names of tokenizer files (``versions``); ``counted`` counts a text's ids by
+each of them, whole and without special tokens. A batch may bring any versions.
 
 Defined cases: null source or language is a group of its own; a null text has no tokens but
 counts as a document; a change with a null count counts 0; repeated inserts of a row count as
 often as they occur; totals that come to zero documents and tokens are dropped; an empty batch
-commits nothing but itself; further columns are ignored.
+commits nothing but itself; an empty table has no totals; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from odonymy.llm.text import chunks
+from odonymy.llm.tokens import encoder, public_path
 from odonymy.session import materialize
 
 KEYS = ["source", "lang", "tokenizer_version"]
 TOTALS = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
-_WORD = r"[^\x20\x09-\x0D]+"
-#: Tokens of a text by version: words, and runs of letters/digits/non-ASCII or single other characters.
-COUNTERS = {
-    "words-1": rf"{_WORD}",
-    "pieces-1": r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[!-/:-@\[-`{-~]",
-}
+COUNTED = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long"
+
+
+def versions(*names: str) -> dict[str, str]:
+    """File by version name of installed public tokenizers."""
+    return {name: public_path(f"{name}.json") for name in names or ("word_bpe_49k", "byte_bpe_50k")}
 
 
-def counted(docs: DataFrame, counters: dict[str, str] | None = None) -> DataFrame:
+def counted(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> DataFrame:
     """A row for each document and version: doc_id, source, lang, tokenizer_version, n_tokens."""
-    text = F.coalesce("text", F.lit(""))
-    each = F.array(*(F.struct(F.lit(v).alias("v"), F.regexp_count(text, F.lit(p)).cast("long").alias("n")) for v, p in (counters or COUNTERS).items()))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.explode(each).alias("c"))
-    return rows.select("doc_id", "source", "lang", F.col("c.v").alias("tokenizer_version"), F.col("c.n").alias("n_tokens"))
+    files = tokenizers or versions()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            texts = part.column("text").to_pylist()
+            for name, path in files.items():
+                n = np.diff(encoder(path)(texts)[1]) - 1  # without the end id
+                yield pa.record_batch([part.column("doc_id"), part.column("source"), part.column("lang"), pa.array([name] * len(n), pa.string()), pa.array(n, pa.int64())], ["doc_id", *KEYS, "n_tokens"])
+
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text("source"), text("lang"), "text").mapInArrow(run, COUNTED)
 
 
 def inserted(rows: DataFrame) -> DataFrame:
@@ -76,49 +94,67 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def _done(self, folder: str) -> list[str]:
-        """Names under a folder that have the success mark."""
+    def _names(self, folder: str) -> list[str]:
+        """Names under a folder, ascending."""
         fs, path = self._fs()
         at = path(f"{self.path}/{folder}")
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(n for n in names if fs.exists(path(f"{self.path}/{folder}/{n}/_SUCCESS")))
-
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        """Newest snapshot and the batches in it."""
-        names = self._done("snapshots")
-        if not names:
-            return None, set()
-        at = f"{self.path}/snapshots/{names[-1]}"
-        held = {r[0] for r in self.spark.read.schema("batch string").parquet(f"{at}/kind=batches").collect()}
-        return at, held
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _done(self, folder: str) -> list[str]:
+        """Those of them that have the success mark."""
+        fs, path = self._fs()
+        return [n for n in self._names(folder) if fs.exists(path(f"{self.path}/{folder}/{n}/_SUCCESS"))]
+
+    def _held(self, snapshot: str | None) -> DataFrame:
+        """Ids of the batches in a snapshot."""
+        read = self.spark.read.schema("batch string")
+        return read.parquet(f"{self.path}/snapshots/{snapshot}/kind=batches") if snapshot else self.spark.createDataFrame([], "batch string")
+
+    def _snapshot(self) -> str | None:
+        return (self._done("snapshots") or [None])[-1]
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Adds a batch under its id; False if a snapshot has it already."""
-        if batch in self._snapshot()[1]:
+        """Adds a batch under its id, if it is not there yet; False if a snapshot has it already."""
+        snapshot = self._snapshot()
+        if snapshot and not self._held(snapshot).where(F.col("batch") == batch).isEmpty():
             return False
-        _summed(deltas).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
+        if not self._done(f"batches/{batch}"):
+            _summed(deltas).write.parquet(f"{self.path}/batches/{batch}/{uuid.uuid4().hex}")
         return True
 
-    def totals(self) -> DataFrame:
-        at, held = self._snapshot()
-        new = [f"{self.path}/batches/{b}" for b in self._done("batches") if b not in held]
-        rows = self.spark.read.schema(TOTALS).parquet(f"{at}/kind=totals") if at else self.spark.createDataFrame([], TOTALS)
+    def _listed(self, snapshot: str | None) -> tuple[dict[str, str], list[str]]:
+        """One listing: (folder by id of committed batches that are not in the snapshot, ids of those that are)."""
+        found = {b: done[0] for b in self._names("batches") if (done := self._done(f"batches/{b}"))}
+        if not found or not snapshot:
+            return found, []
+        ids = self.spark.createDataFrame([(b,) for b in found], "batch string")
+        old = {r.batch for r in ids.join(self._held(snapshot), "batch", "left_semi").collect()}  # at most the listed ones
+        return {b: at for b, at in found.items() if b not in old}, sorted(old)
+
+    def _totals(self, snapshot: str | None, new: dict[str, str]) -> DataFrame:
+        read = self.spark.read.schema(TOTALS)
+        rows = read.parquet(f"{self.path}/snapshots/{snapshot}/kind=totals") if snapshot else self.spark.createDataFrame([], TOTALS)
         if new:
-            rows = rows.union(self.spark.read.schema(TOTALS).parquet(*new))
+            rows = rows.union(read.parquet(*(f"{self.path}/batches/{b}/{at}" for b, at in new.items())))
         return _summed(rows).where("n_docs <> 0 or n_tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        snapshot = self._snapshot()
+        return self._totals(snapshot, self._listed(snapshot)[0])
+
     def compact(self) -> None:
-        """Folds all committed batches into a new snapshot; what it replaces is deleted afterwards."""
-        before, held = self._snapshot()
-        batches = self._done("batches")
-        name = f"{len(self._done('snapshots')) and int(self._done('snapshots')[-1]) + 1:012d}"
+        """Folds the committed batches into a new snapshot; what the last one had replaced is deleted."""
+        before = self._snapshot()
+        new, old = self._listed(before)
+        name = f"{int(before) + 1 if before else 0:012d}"
         at = f"{self.path}/snapshots/{name}"
-        self.totals().write.mode("overwrite").parquet(f"{at}/kind=totals")
-        self.spark.createDataFrame([(b,) for b in sorted({*held, *batches})], "batch string").write.mode("overwrite").parquet(f"{at}/kind=batches")
+        self._totals(before, new).write.mode("overwrite").parquet(f"{at}/kind=totals")
+        ids = self.spark.createDataFrame([(b,) for b in sorted(new)], "batch string")
+        self._held(before).union(ids).coalesce(1).write.mode("overwrite").parquet(f"{at}/kind=batches")
         fs, path = self._fs()
         fs.create(path(f"{at}/_SUCCESS"), True).close()  # the snapshot counts from here on
-        for gone in [f"{self.path}/batches/{b}" for b in batches] + ([before] if before else []):
-            fs.delete(path(gone), True)
+        for gone in [f"batches/{b}" for b in old] + [f"snapshots/{n}" for n in self._names("snapshots") if n < (before or "")]:
+            fs.delete(path(f"{self.path}/{gone}"), True)
 
 
 def replay(docs: DataFrame, path: str) -> DataFrame:
@@ -127,7 +163,7 @@ def replay(docs: DataFrame, path: str) -> DataFrame:
     a compaction in between. The totals are those of the table."""
     spark = docs.sparkSession
     roll = Rollup(spark, path)
-    rows = materialize(counted(docs.withColumn("doc_id", F.col("doc_id").cast("long"))), "token-counts")  # texts are read once
+    rows = materialize(counted(docs), "token-counts")  # texts are encoded once
     early = rows.withColumn("n_tokens", F.when(F.col("doc_id") % 5 == 0, F.floor(F.col("n_tokens") / 2)).otherwise(F.col("n_tokens")).cast("long"))
     part = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(4))  # negative ids too fall into 0 to 3
     for k in range(4):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 
 import brute
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from odonymy.llm import language, quality, queries, rules, token_rollup, toxicity
 from odonymy.llm.frames import table
@@ -180,25 +182,85 @@ def test_rollup_inserts_deletes_revises(spark, rollup):
 def test_rollup_ignores_half_written_batches(spark, rollup):
     rows = counted(spark, [(1, "a", "en", "v1", 10)])
     rollup.commit("b1", token_rollup.inserted(rows))
-    token_rollup.inserted(rows).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{rollup.path}/batches/b2")
+    token_rollup.inserted(rows).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{rollup.path}/batches/b2/00")
     assert totals(rollup) == [("a", "en", "v1", 1, 10)]
     rollup.commit("b3", token_rollup.inserted(rows.limit(0)))
     rollup.commit("b2", token_rollup.inserted(rows))
     assert totals(rollup) == [("a", "en", "v1", 2, 20)]
 
 
-def test_replay_counts_negative_and_null_ids(spark, tmp_path):
-    rows = [(d, "a b c", "en", "s") for d in [*range(-40, 40), -(2**63), 2**63 - 1, None]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = token_rollup.replay(docs, str(tmp_path / "replay")).collect()
-    assert {r.tokenizer_version: (r.n_docs, r.n_tokens) for r in got} == {v: (len(rows), 3 * len(rows)) for v in token_rollup.COUNTERS}
+def test_rollup_keeps_a_committed_batch_when_it_is_sent_again(spark, rollup):
+    rows = counted(spark, [(1, "a", "en", "v1", 10)])
+    rollup.commit("b1", token_rollup.inserted(rows))
 
+    def lost(batches):
+        raise RuntimeError("executor lost")
 
-def test_counters(frame):
-    got = {(r.doc_id, r.tokenizer_version): r.n_tokens for r in token_rollup.counted(frame([(1, "Don't x-y été 12!"), (2, None), (3, "")])).collect()}
-    assert got == {(1, "words-1"): 4, (1, "pieces-1"): 9, (2, "words-1"): 0, (2, "pieces-1"): 0, (3, "words-1"): 0, (3, "pieces-1"): 0}
+    broken = token_rollup.inserted(rows).mapInArrow(lost, "source string, lang string, tokenizer_version string, n_docs long, n_tokens long")
+    rollup.commit("b1", broken)  # not even read
+    with pytest.raises(Exception, match="executor lost"):
+        rollup.commit("b2", broken)
+    assert totals(rollup) == [("a", "en", "v1", 1, 10)]
+    rollup.commit("b2", token_rollup.inserted(rows))
+    token_rollup._summed(token_rollup.inserted(rows)).write.parquet(f"{rollup.path}/batches/b2/zz")  # a second attempt at the same time
+    assert totals(rollup) == [("a", "en", "v1", 2, 20)]
 
 
-@pytest.mark.parametrize("name", ["op3_token_counts", "op10_quality_rules"])
+def test_rollup_commit_during_compaction_counts_once(spark, rollup):
+    rows = counted(spark, [(1, "a", "en", "v1", 10)])
+    rollup.commit("b1", token_rollup.inserted(rows))
+    inner = rollup._totals
+    reader = rollup.totals()
+
+    def meanwhile(*args):
+        rollup.commit("b2", token_rollup.inserted(rows))
+        return inner(*args)
+
+    rollup._totals = meanwhile
+    rollup.compact()
+    rollup._totals = inner
+    assert totals(rollup) == [("a", "en", "v1", 2, 20)]
+    assert reader.collect()[0].n_docs == 1  # began before the compaction
+    for _ in range(3):
+        rollup.compact()
+        assert totals(rollup) == [("a", "en", "v1", 2, 20)]
+    assert not rollup.commit("b2", token_rollup.inserted(rows)) and rollup._names("batches") == []
+
+
+def test_replay_counts_negative_and_null_ids(spark, tmp_path):
+    rows = [(d, "a b c", "en", "s") for d in [*range(-40, 40), -(2**63), 2**63 - 1, None]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = token_rollup.replay(docs, str(tmp_path / "replay")).collect()
+    assert {r.tokenizer_version: (r.n_docs, r.n_tokens) for r in got} == {v: (len(rows), 3 * len(rows)) for v in token_rollup.versions()}
+    assert token_rollup.replay(docs.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_counts_equal_the_tokenizers(frame):
+    texts = [(1, "Don't x-y été 12!"), (2, None), (3, ""), (3, ""), (None, "日本 " * 2000), (4, "<|endoftext|> a")]
+    got = sorted((r.doc_id or 0, r.tokenizer_version, r.n_tokens) for r in token_rollup.counted(frame(texts)).collect())
+    want = []
+    for name, path in token_rollup.versions().items():
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        want += [(d or 0, name, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t in texts]
+    assert got == sorted(want)
+
+
+def test_totals_equal_brute_force(spark):
+    sf, want = "/root/testdata/sf0.001", Counter()
+    docs = table(spark, sf, "documents").collect()
+    for name, path in token_rollup.versions().items():
+        tokenizer = Tokenizer.from_file(path)
+        for r in docs:
+            want[r.source, r.lang, name, "docs"] += 1
+            want[r.source, r.lang, name, "tokens"] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+    got = Counter()
+    for r in queries.queries()["op3_token_counts"](spark, sf).collect():
+        got[r.source, r.lang, r.tokenizer_version, "docs"] += r.n_docs
+        got[r.source, r.lang, r.tokenizer_version, "tokens"] += r.n_tokens
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["op10_quality_rules"])
 def test_queries_equal_their_oracles(compare, name):
     compare(queries.queries()[name], queries.oracle_sql()[name])
