@@ -1,14 +1,16 @@
 """Finding keys that several owners share, over blocks of documents.
 
-Documents are dealt into blocks by a hash of their id. A block lists its distinct keys, each
+Documents are dealt into blocks by a hash. A block lists its distinct keys, each
 once, with the least owner in the block and whether the block has more than one owner of it.
 The lists go to buckets by key; a bucket sees at most one entry of a key for each block, so a
 key that a third of all documents hold is a list of blocks there, no list of documents. It
 replies to every block with the keys that have two owners or more, and their least owner. What
 the block does with a reply - which documents, which positions - it works out itself.
 
-Lists and replies are packed arrays, a row for each (block, bucket). Blocks and buckets grow in
-number with the input, not in size.
+Lists and replies are packed arrays, a row for each (block, bucket) that has keys, so there are
+never more rows than keys. Blocks and buckets grow in number with the input, not in size. How
+documents are dealt to blocks is free: an owner may occur in several blocks (its keys then count
+as shared, with itself as the least owner if no smaller one has them).
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ REPLIES = "block int, hi binary, lo binary, owner binary"
 ENTRY_TYPES = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hi", pa.binary()), ("lo", pa.binary()), ("owner", pa.binary()), ("many", pa.binary())])
 
 
-def block_of(column: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(blocks)).cast("int")
+def block_of(blocks: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
 
 
 def distinct_keys(hi: np.ndarray, lo: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,16 +46,14 @@ def distinct_keys(hi: np.ndarray, lo: np.ndarray, owner: np.ndarray) -> tuple[np
     return hi[first], lo[first], owner[first], owner[first] != owner[last]
 
 
-def entries(block: int, buckets: int, hi: np.ndarray, lo: np.ndarray, owner: np.ndarray, total: bool = False) -> Iterator[dict]:
+def entries(block: int, buckets: int, hi: np.ndarray, lo: np.ndarray, owner: np.ndarray) -> Iterator[dict]:
     """Rows of ENTRIES for a block's keys; hi decides the bucket, as hashes are ascending."""
     hi, lo, owner, many = distinct_keys(hi, lo, owner)
-    step = (1 << 64) // buckets + 1
-    cut = np.searchsorted(hi, np.array([min(b * step, (1 << 64) - 1) for b in range(1, buckets)], U64))
-    cut = np.concatenate([[0], cut, [len(hi)]])
-    for b in range(buckets):
-        s = slice(cut[b], cut[b + 1])
-        if cut[b + 1] > cut[b]:
-            yield {"bucket": b, "block": block, "hi": planes(hi[s]), "lo": planes(lo[s]), "owner": planes(owner[s]), "many": np.packbits(many[s]).tobytes()}
+    bucket = hi // U64((1 << 64) // buckets + 1)
+    cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(hi)]]).tolist() if len(hi) else []
+    for lo_, hi_ in zip(cut[:-1], cut[1:], strict=True):
+        s = slice(lo_, hi_)
+        yield {"bucket": int(bucket[lo_]), "block": block, "hi": planes(hi[s]), "lo": planes(lo[s]), "owner": planes(owner[s]), "many": np.packbits(many[s]).tobytes()}
 
 
 def entry_table(rows: list[dict]) -> pa.Table:

@@ -208,8 +208,8 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block_bytes: int
     sizes = materialize(docs.mapInArrow(measure, "doc_id long, n_shingles long, a long, b long"), "set-sizes")
     least = sizes.where("n_shingles > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
     least = materialize(least, "set-leads")  # read, not aggregated, beside the join: a hot set can then be split
-    rows = docs.where("doc_id is not null").withColumn("block", block_of("doc_id", blocks))
-    leads = least.select(block_of("rep", blocks).alias("block"), F.col("rep").alias("doc_id"))
+    rows = docs.where("doc_id is not null").withColumn("block", block_of(blocks, "doc_id"))
+    leads = least.select(block_of(blocks, "rep").alias("block"), F.col("rep").alias("doc_id"))
 
     def active(left: pa.Table, right: pa.Table) -> list[pa.RecordBatch]:
         """The texts that stand for their equals, in pieces of bounded size."""

@@ -22,20 +22,37 @@ def test_dedup_equals_brute_force(frame, corpus, length):
     assert got == brute.dedup(corpus, length)
 
 
-def test_dedup_levels_double(frame):
+def test_dedup_levels_double_and_spans_are_given(frame):
+    assert [substring_dedup.level_lengths(n) for n in (3, 11, 13, 50, 100)] == [[3], [6, 11], [7, 13], [7, 13, 25, 50], [7, 13, 25, 50, 100]]
     rng = random.Random(5)
     word = lambda: f"u{rng.randint(0, 10**9)}"
     long = [word() for _ in range(120)]
-    rows = [(1, " ".join(long)), (2, " ".join([word(), *long[:27], word()])), (3, " ".join([*long, word()])), (4, " ".join(long[:5]))]
-    got = rows_of(substring_dedup.find(frame(rows), 13), "n_removed", "longest")
-    assert got == {1: (0, 0), 2: (27, 26), 3: (120, 104), 4: (0, 0)}
+    rows = [(1, " ".join(long)), (2, " ".join([word(), *long[:27], word(), *long[60:75]])), (3, " ".join([*long, word()])), (4, " ".join(long[:5]))]
+    got = {r.doc_id: [tuple(x) for x in r.removed] for r in substring_dedup.find(frame(rows), 13).collect()}
+    assert got == {1: [], 2: [(1, 28), (29, 44)], 3: [(0, 120)], 4: []}
 
 
-def test_dedup_of_repeated_rows_null_ids_and_nothing(frame):
-    text = " ".join(f"a{i}" for i in range(20))
-    got = substring_dedup.find(frame([(7, text), (7, text), (9, text), (None, text), (None, None)]), 13).collect()
-    assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in got)) == [(False, 7, 0), (False, 7, 0), (False, 9, 20), (True, 0, 0), (True, 0, 0)]
-    assert substring_dedup.find(frame([(1, "x")]).limit(0), 13).count() == 0
+def test_least_of_consecutive_values():
+    h = np.random.default_rng(1).integers(0, 99, 50).astype(U64)
+    for n in range(1, 20):
+        assert substring_dedup._least(h, n)[: 51 - n].tolist() == [min(h[i : i + n].tolist()) for i in range(51 - n)]
+
+
+@pytest.mark.parametrize("length", [13, 50])
+def test_dedup_of_repeated_rows_null_ids_and_nothing(frame, length):
+    text = " ".join(f"a{i}" for i in range(60))
+    got = substring_dedup.find(frame([(7, text), (7, text), (9, text), (None, text), (None, None), (11, None), (12, "")]), length).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in got) == [(False, 7, 0), (False, 7, 0), (False, 9, 60), (False, 11, 0), (False, 12, 0), (True, 0, 0), (True, 0, 0)]
+    assert substring_dedup.find(frame([(1, "x")]).limit(0), length).count() == 0
+
+
+def test_each_text_of_an_id_is_a_document(frame):
+    one, two = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    rows = [(1, one), (1, two), (1, two), (8, f"x {one}"), (9, f"{two} y"), (9, "z"), (8, one)]
+    got = substring_dedup.find(frame(rows), 13).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 20, 0), (1, 20, 0), (1, 20, 0), (8, 20, 20), (8, 21, 20), (9, 1, 0), (9, 21, 20)]
+    left = substring_dedup.remove_repeats(frame(rows), 13).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(1, one), (1, two), (1, two), (8, "x"), (9, "y"), (9, "z")])
 
 
 def test_removing_repeats_keeps_columns_and_clean_texts(frame):
@@ -44,6 +61,9 @@ def test_removing_repeats_keeps_columns_and_clean_texts(frame):
     out = substring_dedup.remove_repeats(docs, 50)
     assert out.columns == docs.columns
     assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (f"intro  {shared}", len(shared) + 7), 2: ("own words end", 13), 4: ("clean  text", 11), 5: (None, 0)}
+    clash = docs.selectExpr("*", "7 AS n_removed", "'k' AS kept_text", "1 AS _id", "2 AS a", "3 AS b", "4 AS row", "5 AS key", "6 AS lost", "true AS removed", "0 AS kept_sha256", "9 AS place")
+    again = substring_dedup.remove_repeats(clash, 50)
+    assert again.columns == clash.columns and sorted(r.text or "" for r in again.collect()) == sorted(r.text or "" for r in out.collect())
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 60)])
