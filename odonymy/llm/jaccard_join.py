@@ -12,16 +12,19 @@ r. The shingle domain is split into n parts by hash, and subsets of parts are en
 * k = 0: the whole set.
 * k <= 2: n = k + 3 parts; every subset of n - k parts is a signature. At least one subset
   avoids all differences.
-* more: n = k + 1 + e parts, each alone. At least e + 1 parts have no difference. Every set
-  drops its e weakest parts (fewest shingles, ties by content): on the parts without
-  difference both sets have the same order, so the strongest of those is dropped by neither.
-  This keeps empty and nearly empty parts from being signatures.
+* more, in two levels: g = floor(k / 2) + 1 + e groups of three parts; the subsets of two parts of
+  each group are signatures. Of the 3 g at least A = 2 g - k (or 3 g - 2 k if k < g) hold no
+  difference, as one difference in a group spoils two of its subsets and a second one the third.
+  Every set drops its A - 1 weakest signatures (fewest shingles, ties by content): signatures
+  without difference rank the same in both sets, so the strongest of them is dropped by neither.
+  This keeps empty and nearly empty subsets from being signatures.
 
 Sets with a signature in common gather around the least id that has it. Each gathering is
 verified exactly: differences of each set from the shingles most of them have, counted against
 each other, give every pair's symmetric difference; pairs already connected are skipped and
-links between different classes go on. A gathering of more than ``cap`` shingles is split into
-chunks, and each pair of chunks is a task of its own. Links run through ``connected_components``.
+links between different classes go on. A gathering of more than ``cap`` shingles (a constant, so
+memory does not grow with the input) is split into chunks, and each pair of chunks is a task of
+its own; the list of such gatherings is broadcast only if the optimizer finds its table small. Links run through ``connected_components``.
 
 Equal sets are collapsed beforehand and expand by membership only, never into pairs.
 
@@ -114,32 +117,42 @@ def signatures(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndar
     value = mix(h ^ U64(0xD1342543DE82EF95))
     low32, high32 = (value & U64(0xFFFFFFFF)).astype(np.float64), (value >> U64(32)).astype(np.float64)
     place = (h >> U64(32)).astype(np.int64)
-    for rows, band in bands.signing(n):
-        if not len(rows):
-            continue
-        k = bands.k[band]
-        spare = np.where(k > 2, -(-3 * (k + 1) // 10), 0)
-        parts = np.where(k == 0, 1, np.where(k <= 2, k + 3, k + 1 + spare))
+
+    def parted(rows: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first part of each set, number and sum of the shingles in each part)."""
         first = np.concatenate([[0], np.cumsum(parts)])
         of = np.repeat(np.arange(len(rows)), n[rows])
         item = np.repeat(bounds[rows] - np.concatenate([[0], np.cumsum(n[rows])[:-1]]), n[rows]) + np.arange(len(of))
         part = first[of] + place[item] % parts[of]
-        size = np.bincount(part, minlength=first[-1])
         total = np.bincount(part, low32[item], first[-1]).astype(U64) + (np.bincount(part, high32[item], first[-1]).astype(U64) << U64(32))
-        owner = np.repeat(np.arange(len(rows)), parts)
-        index = np.arange(first[-1]) - first[owner]
-        salt = mix((band.astype(U64) << U64(20)) + U64(7))
-        content = total + size.astype(U64) * U64(0x9E3779B97F4A7C15)
-        # Single parts, without the weakest.
-        order = np.lexsort((index, total, size, owner))
-        strong = order[(np.arange(len(order)) - first[owner[order]] >= spare[owner[order]]) & (k[owner[order]] > 2)]
-        out.append((rows[owner[strong]], mix(content[strong] + mix(salt[owner[strong]] + index[strong].astype(U64)))))
-        for few in (0, 1, 2):
-            sets = np.flatnonzero(k == few)
-            every = few + 3 if few else 1
-            for number, chosen in enumerate(combinations(range(every), every - few)):
-                both = sum((content[first[sets] + p] for p in chosen), np.zeros(len(sets), U64))
-                out.append((rows[sets], mix(both + mix(salt[sets] + U64(1000 + number)))))
+        return first, np.bincount(part, minlength=first[-1]), total
+
+    def content(size: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return total + size.astype(U64) * U64(0x9E3779B97F4A7C15)
+
+    for rows, band in bands.signing(n):
+        k, salt = bands.k[band], mix((band.astype(U64) << U64(20)) + U64(7))
+        large, few = np.flatnonzero(k > 2), np.flatnonzero(k <= 2)
+        if len(large):
+            groups = k[large] // 2 + 1 + -(-15 * k[large] // 100)
+            first, size, total = parted(rows[large], 3 * groups)
+            # Subsets of two parts, each at the place of the third one.
+            size, total = ((x.reshape(-1, 3).sum(1, dtype=x.dtype)[:, None] - x.reshape(-1, 3)).ravel() for x in (size, total))
+            owner = np.repeat(np.arange(len(large)), 3 * groups)
+            index = np.arange(first[-1]) - first[owner]
+            agree = np.where(k[large] < groups, 3 * groups - 2 * k[large], 2 * groups - k[large])
+            order = np.lexsort((index, total, size, owner))
+            strong = order[np.arange(len(order)) - first[owner[order]] >= agree[owner[order]] - 1]
+            out.append((rows[large][owner[strong]], mix(content(size, total)[strong] + mix(salt[large][owner[strong]] + index[strong].astype(U64)))))
+        if len(few):
+            first, size, total = parted(rows[few], np.where(k[few] == 0, 1, k[few] + 3))
+            value_of = content(size, total)
+            for most in (0, 1, 2):
+                sets = np.flatnonzero(k[few] == most)
+                every = most + 3 if most else 1
+                for number, chosen in enumerate(combinations(range(every), every - most)):
+                    both = sum((value_of[first[sets] + p] for p in chosen), np.zeros(len(sets), U64))
+                    out.append((rows[few][sets], mix(both + mix(salt[few][sets] + U64(1000 + number)))))
     text, sig = (np.concatenate([x[j] for x in out]) for j in (0, 1)) if out else (np.zeros(0, np.int64), np.zeros(0, U64))
     return text, sig & KEEP48
 
@@ -256,11 +269,9 @@ def similar(docs: DataFrame, size: int = 3, percent: int = 90, block_bytes: int
 
 
 def _links(members: DataFrame, percent: int, cap: int) -> DataFrame:
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cap = max(cap, total // 50_000)
-    # At most total / cap <= 50,000 gatherings are large: small enough to send to all executors.
-    large = members.groupBy("leader").agg(F.sum("n").alias("t")).where(F.col("t") > cap).select("leader", F.ceil(F.col("t") / cap).cast("int").alias("k"))
-    dealt = members.join(F.broadcast(large), "leader", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    # Read, not aggregated, beside the join, so its size is known when the join is planned.
+    large = materialize(members.groupBy("leader").agg(F.sum("n").alias("t")).where(F.col("t") > cap).select("leader", F.ceil(F.col("t") / cap).cast("int").alias("k")), "large-gatherings", 8)
+    dealt = members.join(large, "leader", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     dealt = dealt.withColumn("c", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     # Chunk c meets every chunk: pairs (least, greatest).
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("leader", F.least("c", "o").cast("int").alias("x"), F.greatest("c", "o").cast("int").alias("y"), "c", "doc_id", "shingles")
