@@ -1,17 +1,18 @@
 """Token ids in a grammar-compressed file format with random access.
 
-Documents are dealt by ranges of doc_id and lie in ascending order within a file; every
+Documents are dealt by ranges of doc_id (of one id: by the text's hash, of equal rows: by their
+place), into at most ``most_parts`` parts, and lie in ascending order within a file; every
 ``shard_tokens`` ids or so form a shard with a grammar of its own, so memory and the work to
-write or read a shard are bounded. The grammar is Re-Pair: the most frequent adjacent pairs
-of symbols are replaced by new symbols, again and again, until no pair occurs ``min_count``
-times or a round takes away less than ``least_gain`` of the symbols. Each round counts exactly the pairs among the 1023 most frequent symbols (a pair is
-never more frequent than its symbols) and replaces up to ``batch`` pairs at once; where
-chosen pairs overlap, every other one of the chain is taken.
+write or read a shard are bounded. The grammar is Re-Pair in rounds: all adjacent pairs of symbols
+are counted by sorting, those at least a quarter as frequent as the most frequent one are
+replaced by new symbols at once, and so on until no pair occurs ``min_count`` times. Where chosen
+pairs overlap, every other one of the chain is taken.
 
 A shard's row in the Parquet file: part and seq (its place in the order), the document ids and
 their numbers of ids, the rules (pairs of symbols; symbols from ``base`` on are rules), the
 number of ids each rule stands for, the symbols, and every 1024th symbol's position in ids.
-``read_range`` decodes any range of ids from these without the rest.
+``read_range`` decodes any range of ids: only the shards that hold some of it are read, and in
+them only the symbols that do, and their rules, are expanded.
 
 Defined cases: null and empty texts are the end id alone; repeated doc_ids stand side by side,
 ordered by the text's hash; null doc_ids come first; an empty table gives no shards.
@@ -19,6 +20,7 @@ ordered by the text's hash; null doc_ids come first; an empty table gives no sha
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -33,50 +35,43 @@ from odonymy.llm.text import chunks, planes, unplanes
 from odonymy.llm.tokens import encoder
 from odonymy.session import scratch_path
 
-TOP = 1024
 STEP = 1024
 FILE = "part int, seq int, n_ids long, doc_ids binary, no_id binary, doc_sizes binary, base int, rules binary, rule_sizes binary, symbols binary, positions binary"
 
 
-def compress(ids: np.ndarray, min_count: int = 24, batch: int = 1024, least_gain: float = 0.005) -> tuple[np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, min_count: int = 8, share: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules as rows of two symbols, first rule's symbol)."""
     seq = ids.astype(np.int32)
     base = int(seq.max()) + 1 if len(seq) else 1
     rules: list[np.ndarray] = []
     made = 0
     while len(seq) > 1:
-        freq = np.bincount(seq, minlength=base + made)
-        top = np.argsort(-freq, kind="stable")[: TOP - 1]
-        rank = np.full(base + made, TOP - 1, np.int32)
-        rank[top] = np.arange(len(top))
-        r = rank[seq]
-        pair = r[:-1] * TOP + r[1:]
-        count = np.bincount(pair, minlength=TOP * TOP)
-        count[TOP - 1 :: TOP] = 0
-        count[(TOP - 1) * TOP :] = 0
-        best = np.argpartition(-count, batch)[:batch]
-        best = best[count[best] >= min_count]
-        if not len(best):
+        wide = np.int64(base + made)
+        pair = seq[:-1] * wide + seq[1:]
+        ordered = np.sort(pair)
+        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(np.append(head, len(ordered)))
+        if count.max() < min_count:
             break
-        best = best[np.argsort(-count[best], kind="stable")]
-        symbol = np.zeros(TOP * TOP, np.int32)
-        symbol[best] = base + made + np.arange(len(best))
-        new = symbol[pair]
-        at = np.flatnonzero(new)
+        chosen = ordered[head[count >= max(min_count, int(count.max()) // share)]]
+        # Places whose symbols are both in some chosen pair, then those of chosen pairs.
+        first, second = np.zeros(wide, bool), np.zeros(wide, bool)
+        first[chosen // wide], second[chosen % wide] = True, True
+        at = np.flatnonzero(first[seq[:-1]] & second[seq[1:]])
+        rule = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
+        hit = chosen[rule] == pair[at]
+        at, rule = at[hit], rule[hit]
         # In a chain of overlapping pairs the 1st, 3rd, 5th ... are taken.
         head = np.ones(len(at), bool)
         head[1:] = at[1:] != at[:-1] + 1
         chain = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at = at[chain % 2 == 0]
-        gain = len(at) / len(seq)
-        seq[at] = new[at]
+        at, rule = at[chain % 2 == 0], rule[chain % 2 == 0]
+        seq[at] = base + made + rule
         left = np.ones(len(seq), bool)
         left[at + 1] = False
         seq = seq[left]
-        rules.append(np.stack([top[best // TOP], top[best % TOP]], 1))
-        made += len(best)
-        if gain < least_gain:
-            break
+        rules.append(np.stack([chosen // wide, chosen % wide], 1))
+        made += len(chosen)
     return seq, np.concatenate(rules).astype(np.int32) if rules else np.zeros((0, 2), np.int32), base
 
 
@@ -95,27 +90,42 @@ class Grammar:
         self.symbols, self.base = unplanes(row["symbols"], np.int32), row["base"]
         self.rules = unplanes(row["rules"], np.int32).reshape(-1, 2)
         self.sizes, self.positions, self.n_ids = unplanes(row["rule_sizes"], np.int64), unplanes(row["positions"], np.int64), row["n_ids"]
-        self.size = np.concatenate([np.ones(self.base, np.int64), self.sizes])
-        full: list[np.ndarray] = []
-        for a, b in self.rules.tolist():
-            full.append(np.concatenate([full[x - self.base] if x >= self.base else np.array([x], np.uint32) for x in (a, b)]))
-        self.flat = np.concatenate([np.arange(self.base, dtype=np.uint32), *full])
-        self.first = np.concatenate([np.arange(self.base), self.base + np.cumsum(self.sizes) - self.sizes])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        size = self.size[symbols]
-        total = np.cumsum(size)
-        return self.flat[np.repeat(self.first[symbols] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+        """Ids of the symbols; no other rules than theirs are looked at."""
+        out = symbols
+        while len(rule := np.flatnonzero(out >= self.base)):
+            width = np.ones(len(out), np.int64)
+            width[rule] = 2
+            at = np.cumsum(width) - width
+            new = np.empty(len(out) + len(rule), out.dtype)
+            new[at] = out
+            new[at[rule]], new[at[rule] + 1] = self.rules[out[rule] - self.base].T
+            out = new
+        return out.astype(np.uint32)
+
+    def all_ids(self) -> np.ndarray:
+        """Ids of the whole shard; each rule is expanded once."""
+        flat = np.concatenate([np.arange(self.base, dtype=np.uint32), self.expand(np.arange(len(self.rules), dtype=np.int32) + self.base)])
+        size = np.concatenate([np.ones(self.base, np.int64), self.sizes])
+        first = np.cumsum(size) - size
+        n = size[self.symbols]
+        total = np.cumsum(n)
+        return flat[np.repeat(first[self.symbols] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
 
     def read_range(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of the shard, from the symbols that hold them."""
-        stop = min(stop, self.n_ids)
+        start, stop = max(start, 0), min(stop, self.n_ids)
         if stop <= start:
             return np.zeros(0, np.uint32)
         lo = int(np.searchsorted(self.positions, start, "right")) - 1
         hi = int(np.searchsorted(self.positions, stop, "left"))
-        ids = self.expand(self.symbols[lo * STEP : hi * STEP])
-        return ids[start - self.positions[lo] : stop - self.positions[lo]]
+        some = self.symbols[lo * STEP : hi * STEP]
+        # Of these at most two steps of symbols the lengths tell which ones hold the range.
+        end = self.positions[lo] + np.cumsum(np.where(some >= self.base, self.sizes[np.maximum(some - self.base, 0)] if len(self.sizes) else 1, 1))
+        a, b = int(np.searchsorted(end, start, "right")), int(np.searchsorted(end, stop, "left")) + 1
+        skip = start - (int(end[a - 1]) if a else int(self.positions[lo]))
+        return self.expand(some[a:b])[skip : skip + stop - start]
 
 
 def _shard(part: int, seq: int, docs: list, sizes: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -129,8 +139,11 @@ def _shard(part: int, seq: int, docs: list, sizes: list[np.ndarray], ids: list[n
     return pa.record_batch({k: pa.array([v], types.get(k, pa.binary())) for k, v in row.items()})
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = 4_000_000, part_bytes: int = 24 << 20) -> None:
-    """Encodes every document and writes the shards under ``path``."""
+def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = 4_000_000, part_bytes: int = 24 << 20, most_parts: int = 20_000) -> None:
+    """Encodes every document and writes the shards under ``path``.
+
+    Range bounds come from a sample of keys that Spark takes by itself, at most a few million.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -147,24 +160,48 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = 4_000_
         if names:
             yield _shard(part, seq, names, sizes, ids)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(8, -(-text_bytes(docs) // part_bytes))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows.mapInArrow(run, FILE).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+    parts = min(most_parts, max(8, -(-text_bytes(docs) // part_bytes)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, FILE).write.parquet(path)
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Decodes the files: per document doc_id, start (ids before it), n_tokens, ids_crc32."""
+def shard_starts(files: DataFrame) -> DataFrame:
+    """part, seq, n_ids and start, the number of ids before each shard; of parts there are at most ``most_parts``."""
     sizes = files.select("part", "seq", "n_ids")
     by_part = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = by_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("b"))
-    within = sizes.select("part", "seq", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("w"))
-    starts = within.join(before, "part").select("part", "seq", (F.col("b") + F.col("w")).alias("start"))
+    within = sizes.select("part", "seq", "n_ids", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("w"))
+    return within.join(before, "part").select("part", "seq", "n_ids", (F.col("b") + F.col("w")).alias("start"))
+
+
+def read_range(files: DataFrame, start: int, stop: int) -> np.ndarray:
+    """Ids start..stop of the whole file, in order; the result is in the driver's memory."""
+    held = shard_starts(files).where((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start)).orderBy("start").collect()
+    if not held or stop <= start:
+        return np.zeros(0, np.uint32)
+    first = {(r.part, r.seq): r.start for r in held}
+    some = files.where(functools.reduce(lambda a, b: a | b, ((F.col("part") == p) & (F.col("seq") == q) for p, q in first)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = first[row["part"], row["seq"]]
+                ids = Grammar(row).read_range(start - at, stop - at)
+                yield pa.record_batch({"start": pa.array([at]), "ids": pa.array([ids.astype("<u4").tobytes()], pa.binary())})
+
+    got = sorted(some.mapInArrow(run, "start long, ids binary").collect())
+    return np.concatenate([np.frombuffer(r.ids, "<u4") for r in got])
+
+
+def read(files: DataFrame) -> DataFrame:
+    """Decodes the files: per document doc_id, start (ids before it), n_tokens, ids_crc32."""
+    starts = shard_starts(files).select("part", "seq", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = Grammar(row).expand(unplanes(row["symbols"], np.int32)).astype("<u4")
+                ids = Grammar(row).all_ids().astype("<u4")
                 names, none = unplanes(row["doc_ids"], np.int64), np.frombuffer(row["no_id"], bool)
                 n = unplanes(row["doc_sizes"], np.int64)
                 end = np.cumsum(n)

@@ -136,13 +136,21 @@ def test_grammar_round_trip_and_random_access():
         per = np.concatenate([np.ones(base, np.int64), size])[symbols]
         row = {"symbols": planes(symbols), "rules": planes(rules), "rule_sizes": planes(size), "positions": planes((np.cumsum(per) - per)[:: repair_codec.STEP]), "base": base, "n_ids": len(ids)}
         grammar = repair_codec.Grammar(row)
-        assert (grammar.expand(symbols) == ids).all()
+        assert (grammar.expand(symbols) == ids).all() and (grammar.all_ids() == ids).all()
         for _ in range(20):
             lo, hi = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
             assert (grammar.read_range(lo, hi) == ids[lo:hi]).all()
     assert len(symbols) < len(ids) and len(rules)
 
 
+def test_grammar_ends_only_when_no_pair_is_frequent():
+    rng = np.random.default_rng(7)
+    ids = np.concatenate([rng.zipf(1.2, 30_000) % 3000, np.tile(rng.integers(3000, 6000, 500), 20)]).astype(np.uint32)
+    symbols, rules, base = repair_codec.compress(ids)
+    pairs = np.unique(np.stack([symbols[:-1], symbols[1:]], 1), axis=0, return_counts=True)[1]
+    assert pairs.max() < 8 and len(symbols) < len(ids) * 0.7 and rules.max() < base + len(rules)
+
+
 def check_file(rows, encode, docs):
     at = 0
     for (d, t), r in zip(sorted(docs), sorted(rows, key=lambda r: r.doc_id), strict=True):
@@ -156,7 +164,12 @@ def test_token_file_round_trip(spark, frame, corpus, tmp_path):
     repair_codec.write(frame(corpus, 7), path, str(tmp_path / "f"), shard_tokens=3000, part_bytes=40_000)
     files = spark.read.parquet(str(tmp_path / "f"))
     assert files.count() >= 8
-    check_file(repair_codec.read(files).collect(), Encoder(path), corpus)
+    rows = repair_codec.read(files).collect()
+    check_file(rows, Encoder(path), corpus)
+    encode = Encoder(path)
+    every = np.concatenate([encode([t])[0] for _, t in sorted(corpus)])
+    for start, stop in ((0, 10), (0, len(every)), (2990, 3010), (5000, 12_000), (len(every) - 5, len(every) + 5), (7, 7)):
+        assert (repair_codec.read_range(files, start, stop) == every[start:stop]).all()
 
 
 def test_token_file_of_real_documents(spark):
@@ -169,4 +182,7 @@ def test_token_file_of_repeated_rows_null_ids_and_nothing(frame):
     path = public_path(FILES[1])
     rows = repair_codec.round_trip(frame([(3, "x y"), (3, "x y"), (None, "z"), (1, None)]), path).collect()
     assert sorted(((r.doc_id or 0), r.start, r.n_tokens) for r in rows) == [(0, 0, 2), (1, 2, 1), (3, 3, 3), (3, 6, 3)]
+    hot = repair_codec.round_trip(frame([(5, "same")] * 300 + [(5, f"other {i}") for i in range(50)] + [(4, "first")]), path).collect()
+    ends = sorted((r.start, r.start + r.n_tokens) for r in hot)
+    assert len(hot) == 351 and ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
     assert repair_codec.round_trip(frame([(1, "a")]).limit(0), path).count() == 0
