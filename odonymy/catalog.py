@@ -36,7 +36,7 @@ def _r(name: str, digits: int = 6):
 _TYPES_SQL = ", ".join(f"'{t}'" for t in text.STREET_TYPES)
 _FOLD_SQL = "replace(replace(strip_accents(lower({})), 'ß', 'ss'), 'œ', 'œ')"
 _NAMES_SQL = rf"""
-n AS (SELECT doc_id, left(text, 40) AS name, regexp_extract_all(left(text, 40), '[\p{{L}}\p{{N}}]+') AS t FROM documents),
+n AS (SELECT doc_id, text AS name, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS t FROM documents),
 f AS (SELECT doc_id, name, list_transform(t, lambda x: {_FOLD_SQL.format("x")}) AS t FROM n),
 g AS (SELECT doc_id, name, list_transform(t, lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')) AS l, coalesce(list_position(list_transform(t, lambda x: x IN ({_TYPES_SQL})), false), 0) AS k FROM f)"""
 

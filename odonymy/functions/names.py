@@ -2,7 +2,8 @@
 
 Folding (compatibility decomposition, marks dropped, case folded) is free of context, so the
 driver derives a character table from ``unicodedata`` once and the executors apply it with
-``translate`` and, in the rare rows with characters that fold to several, with a map.
+``translate`` and, in rows with characters that fold to several, with ``replace``. Names of any
+length are worked on as one string, without a list of their tokens.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ STREET_TYPES = (
     "rue", "ruelle",
 )
 #: Letters and numbers of any script; the four last ones fold to Latin but are newer than Java's tables.
-_ALNUM = r"[\p{L}\p{N}\x{A7F2}-\x{A7F4}\x{107A5}]+"
+_OTHER = r"[^\p{L}\p{N}\x{A7F2}-\x{A7F4}\x{107A5}]+"
+#: From here on characters are looked up in the long list only if one of them occurs.
+_RARE = "\u0250"
 
 
 def folded(text: str) -> str:
@@ -59,36 +62,33 @@ def fold(text: Column) -> Column:
     """Lower-case text with diacritics folded, as far as it gives [a-z0-9]; other characters stay or go."""
     source, target, longer = _tables()
     marks = F.translate(text, source, target)
-    # Rows that hold one of the longer ones are spelled out character by character.
-    table = F.map_from_arrays(F.lit([c for c, _ in longer]), F.lit([t for _, t in longer]))
-    spelled = F.transform(F.regexp_extract_all(marks, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(table, c), c))
-    return F.when(text.rlike("[" + "".join(f"\\x{{{ord(c):X}}}" for c, _ in longer) + "]"), F.array_join(spelled, "")).otherwise(marks)
+    for c, to in longer:
+        if c < _RARE:
+            marks = F.replace(marks, F.lit(c), F.lit(to))
+    # What else folds to several characters is hardly ever there: only rows that hold some are gone through.
+    rare = [(c, to) for c, to in longer if c >= _RARE]
+    there = text.rlike(f"[\\x{{{ord(_RARE):X}}}-\\x{{10FFFF}}]") & (F.translate(text, "".join(c for c, _ in rare), "") != text)
+    table = F.array(*(F.array(F.lit(c), F.lit(to)) for c, to in rare))
+    return F.when(there, F.aggregate(table, marks, lambda a, x: F.replace(a, x[0], x[1]))).otherwise(marks)
 
 
-def tokens(name: Column) -> Column:
-    """Runs of letters and numbers."""
-    return F.regexp_extract_all(name, F.lit(f"({_ALNUM})"), F.lit(1))
-
-
-def _known_tokens(name: Column) -> tuple[Column, Column]:
-    """(tokens folded, with all but letters and digits of other scripts kept apart) by one fold of the whole name."""
-    # Folding never joins or parts tokens of one script, so the name is folded once; a mark between tokens keeps them apart.
-    plain = F.filter(F.split(fold(F.array_join(tokens(name), "\n")), "\n"), lambda t: t.isNotNull())
-    return plain, F.transform(plain, lambda t: F.regexp_replace(t, "[^a-z0-9]", ""))
+def _token_lines(name: Column) -> Column:
+    """Runs of letters and numbers, folded, one to a line."""
+    # Folding never joins or parts tokens of one script, so the name is folded once; line feeds keep tokens apart.
+    return fold(F.btrim(F.regexp_replace(name, _OTHER, "\n"), F.lit("\n")))
 
 
 def normalize_name(name: Column) -> Column:
     """Grouping key: leading street-type words dropped (all kept if nothing else is there), the rest folded and joined."""
-    whole, letters = _known_tokens(name)
-    # A token counts as a type word by what it folds to before characters of other scripts are dropped.
-    first = F.array_position(F.transform(whole, lambda t: t.isin(*STREET_TYPES)), False)
-    kept = F.when(first > 1, F.slice(letters, first.cast("int"), F.size(letters))).otherwise(letters)
-    return F.when(name.isNotNull(), F.array_join(kept, ""))
+    lines = _token_lines(name)
+    # The first line that is no type word; a token counts by what it folds to before other scripts' characters are dropped.
+    at = F.regexp_instr(lines, F.lit(rf"(?<![^\n])(?!(?:{'|'.join(STREET_TYPES)})(?![^\n]))[^\n]"))
+    return F.regexp_replace(F.substr(lines, F.greatest(at, F.lit(1))), "[^a-z0-9]+", "")
 
 
 def first_word(name: Column) -> Column:
     """First token with a letter or digit left after folding; null if there is none."""
-    return F.get(F.filter(_known_tokens(name)[1], lambda t: t != ""), F.lit(0))
+    return F.nullif(F.regexp_extract(F.regexp_replace(_token_lines(name), r"[^a-z0-9\n]+", ""), "[a-z0-9]+", 0), F.lit(""))
 
 
 def is_street_type(word: Column) -> Column:
