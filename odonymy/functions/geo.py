@@ -71,10 +71,14 @@ def metric(coords: Column, projection: Identity | TransverseMercator) -> Column:
     return F.when(F.size(coords) >= 2, F.transform(coords, one))
 
 
+def segment_list(line: Column) -> Column:
+    """Structs (pos, ax, ay, bx, by) of consecutive vertices."""
+    return F.transform(F.slice(line, F.lit(1), F.size(line) - 1), lambda p, i: F.struct(i.alias("pos"), p["x"].alias("ax"), p["y"].alias("ay"), F.get(line, i + 1)["x"].alias("bx"), F.get(line, i + 1)["y"].alias("by")))
+
+
 def segments(lines: DataFrame, line: str, keep: list[str]) -> DataFrame:
     """A row for each pair of consecutive vertices: keep, pos, ax, ay, bx, by."""
-    pairs = F.transform(F.slice(line, F.lit(1), F.size(line) - 1), lambda p, i: F.struct(i.alias("pos"), p["x"].alias("ax"), p["y"].alias("ay"), F.get(line, i + 1)["x"].alias("bx"), F.get(line, i + 1)["y"].alias("by")))
-    rows = lines.where(F.col(line).isNotNull() & (F.size(line) >= 2)).select(*keep, F.explode(pairs).alias("s"))
+    rows = lines.where(F.col(line).isNotNull() & (F.size(line) >= 2)).select(*keep, F.explode(segment_list(F.col(line))).alias("s"))
     return rows.select(*keep, "s.*")
 
 
@@ -87,44 +91,51 @@ def _foot(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column
     return (px - x) * (px - x) + (py - y) * (py - y), x, y
 
 
-def _turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:
-    return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+def directed(segment: Column) -> Column:
+    """A segment struct (ax, ay, bx, by) with what ``distance2`` needs besides: dx, dy and inv, 1 / length^2 (0 for a point)."""
+    dx, dy = segment["bx"] - segment["ax"], segment["by"] - segment["ay"]
+    inv = F.coalesce(F.try_divide(F.lit(1.0), dx * dx + dy * dy), F.lit(0.0))
+    return segment.withField("dx", dx).withField("dy", dy).withField("inv", inv)
 
 
 def crossing(s: str, t: str) -> Column:
-    """Whether segments s and t cross inside both (touching ends have distance 0 anyway)."""
-    c = lambda a, k: F.col(f"{a}.{k}")
-    one = _turn(c(s, "ax"), c(s, "ay"), c(s, "bx"), c(s, "by"), c(t, "ax"), c(t, "ay")) * _turn(c(s, "ax"), c(s, "ay"), c(s, "bx"), c(s, "by"), c(t, "bx"), c(t, "by"))
-    two = _turn(c(t, "ax"), c(t, "ay"), c(t, "bx"), c(t, "by"), c(s, "ax"), c(s, "ay")) * _turn(c(t, "ax"), c(t, "ay"), c(t, "bx"), c(t, "by"), c(s, "bx"), c(s, "by"))
-    return (one < 0) & (two < 0)
+    """Whether directed segments s and t cross inside both (touching ends have distance 0 anyway)."""
+
+    def apart(p: str, q: str) -> Column:
+        """Whether q's ends lie strictly on different sides of p's line."""
+        side = lambda k: F.col(f"{p}.dx") * (F.col(f"{q}.{k}y") - F.col(f"{p}.ay")) - F.col(f"{p}.dy") * (F.col(f"{q}.{k}x") - F.col(f"{p}.ax"))
+        return side("a") * side("b") < 0
+
+    return apart(s, t) & apart(t, s)
 
 
 def nearest(s: str, t: str) -> Column:
-    """Struct (d2, sx, sy, tx, ty): least squared distance of two segments and where it is reached.
+    """Struct (sx, sy, tx, ty): where two segments (ax, ay, bx, by) that do not cross are nearest.
 
-    At a crossing the point is given on both; else one of the four ends is nearest.
+    One of the four ends is nearest; of equally near ones (to a millionth) the least coordinates.
+    Meant for the winning pairs only: ``distance2`` is the formula for all pairs.
     """
     c = lambda a, k: F.col(f"{a}.{k}")
     ends = []
     for p, q in ((s, t), (t, s)):
         for k in ("a", "b"):
-            px, py = c(p, f"{k}x"), c(p, f"{k}y")
-            d2, x, y = _foot(px, py, c(q, "ax"), c(q, "ay"), c(q, "bx"), c(q, "by"))
-            here, there = (px, py), (x, y)
-            sx, sy = here if p == s else there
-            tx, ty = there if p == s else here
-            ends.append(F.struct(d2.alias("d2"), sx.alias("sx"), sy.alias("sy"), tx.alias("tx"), ty.alias("ty")))
-    dx1, dy1 = c(s, "bx") - c(s, "ax"), c(s, "by") - c(s, "ay")
-    dx2, dy2 = c(t, "bx") - c(t, "ax"), c(t, "by") - c(t, "ay")
-    u = ((c(t, "ax") - c(s, "ax")) * dy2 - (c(t, "ay") - c(s, "ay")) * dx2) / F.nullif(dx1 * dy2 - dy1 * dx2, F.lit(0.0))
-    x, y = c(s, "ax") + u * dx1, c(s, "ay") + u * dy1
-    meet = F.struct(F.lit(0.0).alias("d2"), x.alias("sx"), y.alias("sy"), x.alias("tx"), y.alias("ty"))
-    return F.when(crossing(s, t), meet).otherwise(F.array_min(F.array(*ends)))
+            here = (c(p, f"{k}x"), c(p, f"{k}y"))
+            d2, *there = _foot(*here, c(q, "ax"), c(q, "ay"), c(q, "bx"), c(q, "by"))
+            (sx, sy), (tx, ty) = (here, there) if p == s else (there, here)
+            ends.append(F.struct(F.round(d2, 6).alias("d2"), *(F.round(v, 6).alias(n) for v, n in ((sx, "sx"), (sy, "sy"), (tx, "tx"), (ty, "ty")))))
+    return F.array_min(F.array(*ends)).dropFields("d2")
 
 
 def distance2(s: str, t: str) -> Column:
-    """Squared distance of two segments."""
-    return nearest(s, t)["d2"]
+    """Squared distance of two directed segments; little and plain arithmetic, so it stays in one compiled loop."""
+
+    def foot(p: str, k: str, q: str) -> Column:
+        u, v = F.col(f"{p}.{k}x") - F.col(f"{q}.ax"), F.col(f"{p}.{k}y") - F.col(f"{q}.ay")
+        dx, dy, inv = (F.col(f"{q}.{n}") for n in ("dx", "dy", "inv"))
+        along, aside = (u * dx + v * dy) * inv, u * dy - v * dx
+        return F.when(along <= 0, u * u + v * v).when(along >= 1, (u - dx) * (u - dx) + (v - dy) * (v - dy)).otherwise(aside * aside * inv)
+
+    return F.when(crossing(s, t), 0.0).otherwise(F.least(*(foot(p, k, q) for p, q in ((s, t), (t, s)) for k in "ab")))
 
 
 def covers(geometry: Column, x: Column, y: Column) -> Column:

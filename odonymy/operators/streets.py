@@ -6,11 +6,12 @@ exist per norm_name only; two ways of different norm_name never join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from odonymy.functions import geo
 from odonymy.plans.graph import connected_components
+from odonymy.session import materialize
 
 Projection = geo.Identity | geo.TransverseMercator
 
@@ -18,9 +19,9 @@ Projection = geo.Identity | geo.TransverseMercator
 def node_edges(ways: DataFrame) -> DataFrame:
     """Certain join: each way of a group with the least way of the group at each of its nodes (a star, not all pairs)."""
     at = ways.select("norm_name", "way_id", F.explode(F.array_distinct("node_ids")).alias("node"))
-    # One shuffle; a node's ways pass by (and spill if they must), they are never one row.
-    hub = F.min("way_id").over(Window.partitionBy("norm_name", "node"))
-    return at.select(hub.alias("a"), F.col("way_id").alias("b")).where("a <> b").distinct()
+    # The least way of a node is combined before the shuffle; a hot node's rows can then be split by the join.
+    hub = at.groupBy("norm_name", "node").agg(F.min("way_id").alias("a"))
+    return at.join(hub, ["norm_name", "node"]).where("a <> way_id").select("a", F.col("way_id").alias("b")).distinct()
 
 
 def _cells(lo: str, hi: str, size: float):
@@ -28,7 +29,7 @@ def _cells(lo: str, hi: str, size: float):
 
 
 def near_segments(ways: DataFrame, radius: float, projection: Projection, keep: list[str], cell: float | None = None) -> DataFrame:
-    """Pairs of segments (structs s and t) of one norm_name whose boxes are within the radius; s.way_id < t.way_id.
+    """Pairs of directed segments (structs s and t) of one norm_name whose boxes are within the radius; s.way_id < t.way_id.
 
     Segments meet in grid cells: one side lists the cells of its box, the other those of its box
     widened by the radius; the key is (norm_name, cell), so a very common name is spread by place.
@@ -42,11 +43,12 @@ def near_segments(ways: DataFrame, radius: float, projection: Projection, keep:
     seg = seg.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
     along = lambda k, i: F.col(f"a{k}") + (F.col(f"b{k}") - F.col(f"a{k}")) * i / F.col("n")
     cut = {f"{e}{k}": F.when(F.col("i") + o == F.col("n") * o, F.col(f"{e}{k}")).otherwise(along(k, F.col("i") + o)) for k in "xy" for e, o in (("a", 0), ("b", 1))}
-    seg = seg.select("norm_name", *keep, "pos", *(c.alias(name) for name, c in cut.items()))
+    # Known to be there: without tests for null the distance of a pair is a short loop.
+    seg = seg.select("norm_name", *keep, "pos", geo.directed(F.struct(*(F.coalesce(c, F.lit(0.0)).alias(name) for name, c in cut.items()))).alias("g")).select("norm_name", *keep, "pos", "g.*")
     box = {"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")}
     seg = seg.select("*", *(c.alias(k) for k, c in box.items()))
 
-    fields = [*keep, "pos", *cut, *box]
+    fields = [*keep, "pos", *cut, "dx", "dy", "inv", *box]
 
     def dealt(side: str, wide: float) -> DataFrame:
         rows = seg.select("norm_name", *(F.col(c).alias(f"{side}_{c}") for c in fields), *((F.col(f"{k}0") - wide).alias(f"{side}_lo_{k}") for k in "xy"), *((F.col(f"{k}1") + wide).alias(f"{side}_hi_{k}") for k in "xy"))
@@ -61,19 +63,29 @@ def near_segments(ways: DataFrame, radius: float, projection: Projection, keep:
     return both.select("norm_name", *(F.struct(*(F.col(f"{side}_{c}").alias(c) for c in fields)).alias(side) for side in "st"))
 
 
+def way_gaps(ways: DataFrame, radius: float, projection: Projection) -> DataFrame:
+    """(norm_name, a, b, d2) of ways of one group whose segments' boxes come within the radius: their least squared distance.
+
+    Distances are an aggregate: as a filter the formula would be worked out without sharing its parts.
+    """
+    pairs = near_segments(ways, radius, projection, ["way_id"])
+    return pairs.groupBy("norm_name", F.col("s.way_id").alias("a"), F.col("t.way_id").alias("b")).agg(F.min(geo.distance2("s", "t")).alias("d2"))
+
+
 def distance_edges(ways: DataFrame, threshold: float, projection: Projection) -> DataFrame:
     """Heuristic join: pairs of ways of one group at most ``threshold`` apart."""
-    pairs = near_segments(ways, threshold, projection, ["way_id"])
-    close = pairs.where(F.sqrt(geo.distance2("s", "t")) <= threshold)
-    return close.select(F.col("s.way_id").alias("a"), F.col("t.way_id").alias("b")).distinct()
+    return way_gaps(ways, threshold, projection).where(F.sqrt("d2") <= threshold).select("a", "b")
 
 
 def components(ways: DataFrame, threshold: float | None = None, projection: Projection | None = None) -> DataFrame:
     """Adds ``component``, the least way_id of the way's street; without a threshold by shared nodes only."""
+    near = None if threshold is None else distance_edges(ways, threshold, projection or geo.TransverseMercator())
+    return _labelled(ways, near)
+
+
+def _labelled(ways: DataFrame, near: DataFrame | None) -> DataFrame:
     edges = node_edges(ways)
-    if threshold is not None:
-        edges = edges.union(distance_edges(ways, threshold, projection or geo.TransverseMercator())).distinct()
-    label = connected_components(edges)
+    label = connected_components(edges if near is None else edges.union(near))
     return ways.join(label, ways["way_id"] == label["id"], "left").select(ways["*"], F.coalesce("component", "way_id").alias("component"))
 
 
@@ -115,22 +127,37 @@ def near_misses(ways: DataFrame, threshold: float, projection: Projection | None
     the node next to the gap describe each side. Ordered by distance, then by the ids.
     """
     projection = projection or geo.TransverseMercator()
-    labelled = components(ways, threshold, projection)
-    measured = labelled.where(F.size("coords") >= 2)
-    ids = measured.groupBy("component").agg(F.min("way_id").alias("street_id"))
-    rows = measured.join(ids, "component").select("norm_name", "way_id", "coords", "street_id")
-    pairs = near_segments(rows, 2 * threshold, projection, ["way_id", "street_id"]).where(F.col("s.street_id") != F.col("t.street_id"))
-    gap = pairs.select("norm_name", "s", "t", geo.nearest("s", "t").alias("g"))
-    turn = F.col("s.street_id") > F.col("t.street_id")
-    side = lambda first: F.struct(*(F.when(turn == first, F.col(f"t.{k}")).otherwise(F.col(f"s.{k}")).alias(k) for k in ("street_id", "way_id")), *(F.when(turn == first, F.col(f"g.t{k}")).otherwise(F.col(f"g.s{k}")).alias(k) for k in "xy"))
-    gap = gap.select("norm_name", F.col("g.d2").alias("d2"), side(True).alias("p"), side(False).alias("q"))
-    best = gap.groupBy("norm_name", F.col("p.street_id").alias("street_id_a"), F.col("q.street_id").alias("street_id_b")).agg(F.min(F.struct("d2", F.col("p.way_id").alias("way_a"), F.col("q.way_id").alias("way_b"), F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))).alias("m"))
-    best = best.withColumn("distance_m", F.sqrt("m.d2")).where((F.col("distance_m") >= threshold) & (F.col("distance_m") < 2 * threshold))
-    vertices = rows.select("street_id", F.explode(geo.metric(F.col("coords"), projection)).alias("v"))
-    for which in "ab":
-        away = F.pow(F.col("v.x") - F.col(f"m.{which}x"), 2) + F.pow(F.col("v.y") - F.col(f"m.{which}y"), 2)
-        near = best.select("street_id_a", "street_id_b", "m", F.col(f"street_id_{which}").alias("street_id")).join(vertices, "street_id")
-        near = near.groupBy("street_id_a", "street_id_b").agg(F.min(F.struct(away.alias("d"), F.col("v.node_id").alias("n")))["n"].alias(f"node_id_{which}"))
-        best = best.join(near, ["street_id_a", "street_id_b"], "left")
-    named = best.join(display_names(ways), "norm_name")
-    return named.select("name", "norm_name", "street_id_a", "street_id_b", F.col("m.way_a").alias("way_id_a"), F.col("m.way_b").alias("way_id_b"), "node_id_a", "node_id_b", "distance_m").orderBy("distance_m", "street_id_a", "street_id_b")
+    # Distances once, out to twice the threshold; those within it are what joins ways.
+    gaps = materialize(way_gaps(ways, 2 * threshold, projection), "way-gaps")
+    labelled = _labelled(ways, gaps.where(F.sqrt("d2") <= threshold).select("a", "b")).select("way_id", "component", (F.size("coords") >= 2).alias("measured"))
+    ids = labelled.where("measured").groupBy("component").agg(F.min("way_id").alias("street_id"))
+    street = materialize(labelled.where("measured").join(ids, "component").select("way_id", "street_id"), "way-streets")
+    of = lambda side: street.select(F.col("way_id").alias(side), F.col("street_id").alias(f"street_{side}"))
+    apart = gaps.join(of("a"), "a").join(of("b"), "b").where("street_a <> street_b")
+    turn = F.col("street_a") > F.col("street_b")
+    low, high = (F.when(turn == first, F.struct(F.col("street_b").alias("s"), F.col("b").alias("w"))).otherwise(F.struct(F.col("street_a").alias("s"), F.col("a").alias("w"))) for first in (True, False))
+    apart = apart.select("norm_name", "d2", low.alias("p"), high.alias("q"))
+    # Of way pairs equally far apart (to a millionth of a square metre) the least ids stand for the gap.
+    best = apart.groupBy("norm_name", F.col("p.s").alias("street_id_a"), F.col("q.s").alias("street_id_b")).agg(F.min("d2").alias("d2"), F.min(F.struct(F.round("d2", 6).alias("d2"), F.col("p.w").alias("a"), F.col("q.w").alias("b"))).alias("m"))
+    best = best.withColumn("distance_m", F.sqrt("d2")).where((F.col("distance_m") >= threshold) & (F.col("distance_m") < 2 * threshold))
+    best = materialize(best.select("norm_name", "street_id_a", "street_id_b", F.col("m.a").alias("way_id_a"), F.col("m.b").alias("way_id_b"), "distance_m"), "near-misses")
+    named = best.join(display_names(ways.join(best.select("norm_name").distinct(), "norm_name", "left_semi")), "norm_name").join(_gap_nodes(best, ways, projection), ["way_id_a", "way_id_b"], "left")
+    return named.select("name", "norm_name", "street_id_a", "street_id_b", "way_id_a", "way_id_b", "node_id_a", "node_id_b", "distance_m").orderBy("distance_m", "street_id_a", "street_id_b")
+
+
+def _gap_nodes(best: DataFrame, ways: DataFrame, projection: Projection) -> DataFrame:
+    """(way_id_a, way_id_b, node_id_a, node_id_b): the vertex of each way next to where the two are nearest, the least on ties (to a millionth)."""
+    named = best.select("way_id_a", "way_id_b").distinct()
+    lines = ways.select("way_id", geo.metric(F.col("coords"), projection).alias("line"))
+    for side in "ab":
+        named = named.join(lines.select(F.col("way_id").alias(f"way_id_{side}"), F.col("line").alias(f"line_{side}")), f"way_id_{side}")
+    rows = named.select("way_id_a", "way_id_b", "line_a", "line_b", F.explode(geo.segment_list(F.col("line_a"))).alias("s"))
+    rows = rows.select("way_id_a", "way_id_b", "line_a", "line_b", geo.directed(F.col("s")).alias("s"), F.explode(geo.segment_list(F.col("line_b"))).alias("t")).withColumn("t", geo.directed(F.col("t")))
+    rows = rows.select("way_id_a", "way_id_b", "line_a", "line_b", F.struct(F.round(geo.distance2("s", "t"), 6).alias("d2"), geo.nearest("s", "t").alias("at")).alias("g"))
+    found = rows.groupBy("way_id_a", "way_id_b").agg(F.min("g").alias("g"), F.first("line_a").alias("line_a"), F.first("line_b").alias("line_b"))
+
+    def next_to(line: str, x: str, y: str):
+        away = lambda v: F.struct(F.round(F.pow(v["x"] - F.col(f"g.at.{x}"), F.lit(2)) + F.pow(v["y"] - F.col(f"g.at.{y}"), F.lit(2)), 6).alias("d"), v["node_id"].alias("n"))
+        return F.array_min(F.transform(line, away))["n"]
+
+    return found.select("way_id_a", "way_id_b", next_to("line_a", "sx", "sy").alias("node_id_a"), next_to("line_b", "tx", "ty").alias("node_id_b"))

@@ -65,7 +65,7 @@ def test_segment_distance_equals_plain_python(spark):
     pairs = [((point(), point()), (point(), point())) for _ in range(400)]
     flat = [(i, dict(zip(("ax", "ay", "bx", "by"), s[0] + s[1], strict=True)), dict(zip(("ax", "ay", "bx", "by"), t[0] + t[1], strict=True))) for i, (s, t) in enumerate(pairs)]
     kind = "struct<ax:double,ay:double,bx:double,by:double>"
-    rows = spark.createDataFrame(flat, f"i int, s {kind}, t {kind}").select("i", F.sqrt(geo.distance2("s", "t")).alias("d")).orderBy("i").collect()
+    rows = spark.createDataFrame(flat, f"i int, s {kind}, t {kind}").select("i", *(geo.directed(F.col(c)).alias(c) for c in "st")).select("i", F.sqrt(geo.distance2("s", "t")).alias("d")).orderBy("i").collect()
     assert [r.d for r in rows] == pytest.approx([gap(*p) for p in pairs], abs=1e-9)
 
 
