@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -63,6 +64,16 @@ def discard(df: DataFrame) -> None:
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the disk of shuffles that nothing refers to any more: Spark removes them when the driver's JVM has collected the plans.
+
+    To be called between large steps, after ``materialize``; else they stay until a collection comes about by itself.
+    """
+    for _ in range(2):  # the first collection ends what still refers to the last query
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application, and keeps the workers small.
 
