@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from odonymy.llm.exchange import ABSENT, ENTRIES, block_of, entries, entry_table, look_up, replies, reply_keys
 from odonymy.llm.frames import text_bytes
 from odonymy.llm.text import SPACE, U64, Hasher, Words, chunks, planes, split, unplanes, utf8
-from odonymy.session import discard, materialize
+from odonymy.session import discard, materialize, release
 
 FIRST, SECOND = Hasher(11), Hasher(12)
 KEEP48 = U64(0xFFFFFFFFFFFF0000)
@@ -123,9 +123,11 @@ def _results(docs: DataFrame, length: int, keep_text: bool, block_bytes: int) ->
     blocks = max(24, -(-text_bytes(docs) // block_bytes))
     buckets = max(24, blocks // 3)
     levels = level_lengths(length)
-    pairs = materialize(docs.groupBy("doc_id", "a", "b").agg(F.count("*").alias("rows")), "dedup-texts")
+    # Stored tables have a file for every so many blocks: each file costs a task and, on some file systems, processes.
+    few = max(8, blocks // 24)
+    pairs = materialize(docs.groupBy("doc_id", "a", "b").agg(F.count("*").alias("rows")), "dedup-texts", few)
     leads = pairs.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
-    again = materialize(pairs.where("rows > 1").select("doc_id", "a", "b"), "dedup-repeated", 8)
+    again = materialize(pairs.where("rows > 1").select("doc_id", "a", "b"), "dedup-repeated", few)
     if again.isEmpty():
         again, rows = None, docs
     else:
@@ -187,7 +189,7 @@ def _results(docs: DataFrame, length: int, keep_text: bool, block_bytes: int) ->
                 # A copy of a text whose least id is elsewhere is covered by windows from end to end.
                 copy = not ok[done + i] and total[i] >= length
                 out.append(row | {"kept_text": text} if has[i] else _final(row, text, np.ones(total[i], bool) if copy else None, keep_text))
-            state.append((ids[doc], done + doc, at - w.bounds[doc], hi, lo, *under))
+            state.append((ids[doc], (done + doc).astype(np.int32), (at - w.bounds[doc]).astype(np.int32), hi, lo, *under))
             done += part.num_rows
         packed = [planes(np.concatenate([s[j] for s in state])) for j in range(len(state[0]))]
         if packed[0]:
@@ -196,22 +198,25 @@ def _results(docs: DataFrame, length: int, keep_text: bool, block_bytes: int) ->
 
     none = F.lit(None)
     first = materialize(replies(rows.groupBy("block").cogroup(leads.groupBy("block")).applyInArrow(list_first, ENTRIES)), "dedup-replies")
+    release(docs.sparkSession)
     right = leads.select("*", *(none.cast("binary").alias(c) for c in ("hi", "lo", "owner"))).union(first.select("block", *(none.cast("long") for _ in range(3)), "hi", "lo", "owner"))
     state = materialize(rows.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(survivors, STATE), "dedup-windows")
     discard(first)
     discard(pairs)
+    release(docs.sparkSession)
     done, level = state.where("kept_sha256 is not null"), state.where("kept_sha256 is null")
     for turn in range(1, len(levels) - 1):
         # A block's windows are one row, documents without a decision some more.
-        level = materialize(_level(level, turn, levels, buckets, keep_text), "dedup-level", max(8, blocks // 24))
+        level = materialize(_level(level, turn, levels, buckets, keep_text), "dedup-level", few)
         done, level = done.union(level.where("kept_sha256 is not null")), level.where("kept_sha256 is null")
         if level.isEmpty():
             return done.select(*RESULT), again
-    done = done.union(materialize(_level(level, len(levels) - 1, levels, buckets, keep_text), "dedup-decided"))
+    done = done.union(_level(level, len(levels) - 1, levels, buckets, keep_text))
     return done.select(*RESULT), again
 
 
-ARRAYS = (("docs", np.int64), ("places", np.int64), ("pos", np.int64), ("hi", U64), ("lo", np.uint32))
+#: Places and positions fit 32 bits, as a text has fewer than 2**31 bytes.
+ARRAYS = (("docs", np.int64), ("places", np.int32), ("pos", np.int32), ("hi", U64), ("lo", np.uint32))
 
 
 def _level(level: DataFrame, turn: int, levels: list[int], buckets: int, keep_text: bool) -> DataFrame:
