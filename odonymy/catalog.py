@@ -11,6 +11,7 @@ from odonymy.functions import geo
 from odonymy.functions import names as text
 from odonymy.operators import aliases, cities, points, stats, streets
 from odonymy.plans import overlay as o
+from odonymy.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,8 +74,18 @@ def certain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streets.components(o.ways(spark, sf_dir)).select("way_id", "norm_name", "component")
 
 
+def _made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(streets, ways); the ways are stored, as several steps read them."""
+    ways = materialize(o.ways(spark, sf_dir), "overlay-ways")
+    return streets.streets(streets.components(ways)), ways
+
+
 def _streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streets.streets(streets.components(o.ways(spark, sf_dir)))
+    return _made(spark, sf_dir)[0]
+
+
+def _stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(o.lines(spark, sf_dir), "overlay-lines")
 
 
 @query(f"WITH RECURSIVE {o.STREETS_SQL} SELECT norm_name, name, array_to_string(way_ids, ',') AS way_ids, street_id FROM streets")
@@ -118,8 +129,7 @@ def alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = o.ways(spark, sf_dir)
-    return points.street_points(_streets(spark, sf_dir), ways)
+    return points.street_points(*_made(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {o.POINTS_SQL} SELECT street_id, norm_name, round(lon, 9) AS lon, round(lat, 9) AS lat FROM points")
@@ -211,7 +221,7 @@ round(coalesce(list_avg(list_filter([u0, u1, u2, u3, u4], lambda x: x IS NOT NUL
 
 @query(f"WITH RECURSIVE {_KPI_SQL}")
 def name_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.kpis(_points(spark, sf_dir), 5, None, o.areas(spark, sf_dir))
+    found = stats.kpis(materialize(_points(spark, sf_dir), "street-points"), 5, None, o.areas(spark, sf_dir))
     return found.select("norm_name", "count", *(c if c == "top_region" else _r(c, 9 if c.startswith("mean") else 6) for c in stats.KPI_COLUMNS[2:]))
 
 
@@ -232,7 +242,7 @@ comp AS (SELECT a AS way_id, min(b) AS component FROM reach GROUP BY a)"""
 
 @query(f"WITH RECURSIVE {_HEUR_SQL} SELECT norm_name, component, count(*)::BIGINT AS ways FROM comp JOIN l USING (way_id) GROUP BY 1, 2")
 def heuristic_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streets.components(o.lines(spark, sf_dir), THRESHOLD, geo.Identity()).groupBy("norm_name", "component").agg(F.count("*").alias("ways"))
+    return streets.components(_stored_lines(spark, sf_dir), THRESHOLD, geo.Identity()).groupBy("norm_name", "component").agg(F.count("*").alias("ways"))
 
 
 @query(f"""WITH RECURSIVE {_HEUR_SQL}, s AS (SELECT component, min(way_id) AS street_id FROM comp JOIN l USING (way_id) WHERE n >= 2 GROUP BY 1),
@@ -240,7 +250,7 @@ ws AS (SELECT way_id, street_id FROM comp JOIN s USING (component)),
 p AS (SELECT norm_name, least(x.street_id, y.street_id) AS street_id_a, greatest(x.street_id, y.street_id) AS street_id_b, min(d) AS d FROM gap JOIN ws x ON x.way_id = a JOIN ws y ON y.way_id = b WHERE x.street_id <> y.street_id GROUP BY 1, 2, 3)
 SELECT norm_name, street_id_a, street_id_b, round(d, 6) AS distance_m FROM p WHERE d >= {THRESHOLD} AND d < 2 * {THRESHOLD}""")
 def band_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streets.near_misses(o.lines(spark, sf_dir), THRESHOLD, geo.Identity()).select("norm_name", "street_id_a", "street_id_b", _r("distance_m"))
+    return streets.near_misses(_stored_lines(spark, sf_dir), THRESHOLD, geo.Identity()).select("norm_name", "street_id_a", "street_id_b", _r("distance_m"))
 
 
 _MERGE_SQL = f"""{o.WAYS_SQL}, {o.AREAS_SQL},
@@ -275,3 +285,6 @@ def resolved_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top street groups by number of distinct streets."""
     return QUERIES["top_groups"](spark, sf_dir)
+
+
+from odonymy import catalog_files  # noqa: E402, F401  (enters its queries)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import io
 import sys
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from odonymy import sinks
+from odonymy import paths, sinks
 from odonymy.functions import geo
 from odonymy.operators import aliases, cities, points, stats, streets
 from odonymy.reporter import Reporter
@@ -17,7 +17,7 @@ from odonymy.session import get_spark
 from odonymy.sources import config_files as files
 from odonymy.sources import osm
 from odonymy.store import Store
-from odonymy.streaming.ingest import join_in_buckets
+from odonymy.streaming.ingest import extract_in_steps, join_in_buckets
 
 _DERIVED = object()
 
@@ -33,49 +33,52 @@ def parser() -> argparse.ArgumentParser:
 
     for name, text in (("extract", "named highways and squares of a dump"), ("areas", "administrative boundaries of a dump")):
         p = command(name, text)
-        p.add_argument("input", type=Path)
-        p.add_argument("database", type=Path, nargs="?")
-        p.add_argument("-d", "--database", type=Path, dest="database_opt")
+        p.add_argument("input")
+        p.add_argument("database", nargs="?")
+        p.add_argument("-d", "--database", dest="database_opt")
+        if name == "extract":
+            p.add_argument("--steps", type=int, default=4, help="ranges of way ids; an interrupted run goes on with the next one")
     for name, text in (("join", "ways into streets"), ("threshold", "street pairs that are nearly joined")):
         p = command(name, text)
-        p.add_argument("database", type=Path)
+        p.add_argument("database")
         p.add_argument("-t", "--threshold", type=float, default=100.0, metavar="METERS")
+        if name == "join":
+            p.add_argument("--steps", type=int, default=4, help="buckets of names; an interrupted run goes on with the next one")
     p = command("prefixes", "frequent first words that are no known street type")
-    p.add_argument("input", type=Path)
+    p.add_argument("input")
     p = command("map", "grid of a name's prominence")
-    p.add_argument("database", type=Path)
+    p.add_argument("database")
     p.add_argument("target")
-    p.add_argument("-o", "--output", type=Path)
+    p.add_argument("-o", "--output")
     p.add_argument("--cell", type=float, default=10.0, metavar="KM")
     p.add_argument("--min-streets", type=int, default=42)
     p = command("kpi", "distribution figures of every name")
-    p.add_argument("database", type=Path)
+    p.add_argument("database")
     p.add_argument("-n", "--min-count", type=int, default=20)
-    p.add_argument("-o", "--output", type=Path)
+    p.add_argument("-o", "--output")
     p = command("alias", "relabel street keys")
-    p.add_argument("database", type=Path)
-    p.add_argument("-a", "--aliases", type=Path)
+    p.add_argument("database")
+    p.add_argument("-a", "--aliases")
     p = command("cities", "municipalities with a street that matches patterns")
-    p.add_argument("database", type=Path)
-    p.add_argument("patterns", type=Path)
+    p.add_argument("database")
+    p.add_argument("patterns")
     p.add_argument("-r", "--region", type=int, metavar="ID")
-    p.add_argument("-m", "--map", type=Path, nargs="?", const=_DERIVED, dest="map_path")
+    p.add_argument("-m", "--map", nargs="?", const=_DERIVED, dest="map_path")
     return top
 
 
 def _dump(spark: SparkSession, args: argparse.Namespace) -> tuple[osm.Dump, Store]:
-    osm.validate_input(str(args.input))
+    osm.validate_input(args.input)
     where = args.database_opt or args.database or files.store_path(args.input)
-    return osm.read(spark, str(args.input)), Store(spark, str(where))
+    return osm.read(spark, args.input), Store(spark, where)
 
 
 def run_extract(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
     dump, store = _dump(spark, args)
-    found = osm.highways(dump.nodes, dump.ways).persist()
-    parsed, unnamed = found.agg(F.count("*"), F.count_if(F.col("name").isNull())).first()
-    store.write("ways", found.where("name is not null"))
-    found.unpersist()
-    store.set_meta(parsed_count=parsed, unnamed_count=unnamed)
+    if store.parts("ways_parts"):
+        say.info(f"extract: going on behind way {max(map(int, store.parts('ways_parts')))}")
+    parsed, unnamed = extract_in_steps(store, dump.nodes, dump.ways, args.steps)
+    say.debug(f"extract: {parsed} ways, {unnamed} without a name")
     store.write("squares", osm.squares(dump))
     say.progress(f"extract: {store.read('squares').count()} named squares")
     say.set_counts(parsed=parsed, groups=store.header()["groups"])
@@ -89,16 +92,17 @@ def run_areas(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> N
 
 
 def run_join(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
-    store = Store(spark, str(args.database))
+    store = Store(spark, args.database)
     header = store.header()
-    made = join_in_buckets(store, args.threshold)
+    say.debug(f"join: {args.steps} buckets, {len(store.parts(f'streets_parts/of={args.steps}'))} of them done before")
+    made = join_in_buckets(store, args.threshold, buckets=args.steps)
     sinks.print_groups(streets.top_groups(store.read("street_groups"), 10).collect(), sys.stdout)
     say.set_counts(parsed=header["parsed"], groups=header["groups"], streets=made)
     say.summary()
 
 
 def run_threshold(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
-    store = Store(spark, str(args.database))
+    store = Store(spark, args.database)
     pairs = streets.near_misses(store.read("ways"), args.threshold).persist()
     n = pairs.count()
     if n:
@@ -110,15 +114,15 @@ def run_threshold(spark: SparkSession, args: argparse.Namespace, say: Reporter)
 
 
 def run_prefixes(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
-    osm.validate_input(str(args.input))
-    dump = osm.read(spark, str(args.input))
+    osm.validate_input(args.input)
+    dump = osm.read(spark, args.input)
     words = points.first_words(osm.highways(dump.nodes, dump.ways)).collect()
     sinks.print_words(words, sys.stdout)
     say.progress(f"prefixes: {len(words)} words")
 
 
 def run_map(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
-    store = Store(spark, str(args.database))
+    store = Store(spark, args.database)
     made = store.read("streets")
     size = args.cell * 1000
     cells = points.grid(points.street_points(made, store.read("ways")), args.target, size, args.min_streets).persist()
@@ -135,15 +139,16 @@ def run_map(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> Non
 
 
 def run_kpi(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
-    store = Store(spark, str(args.database))
+    store = Store(spark, args.database)
     areas = store.read("areas")
     if areas.where("admin_level = '4'").isEmpty():
         say.warn(f"no region boundaries in {args.database}; regional figures stay blank (run areas)")
         areas = None
     found = points.street_points(store.read("streets"), store.read("ways"))
     out = args.output or files.kpi_path(args.database)
-    with out.open("w", encoding="utf-8", newline="") as f:
-        rows = sinks.write_kpis(stats.kpis(found, args.min_count, areas=areas).toLocalIterator(), f)
+    text = io.StringIO(newline="")
+    rows = sinks.write_kpis(stats.kpis(found, args.min_count, areas=areas).toLocalIterator(), text)
+    paths.write_text(out, text.getvalue(), spark)
     if store.read("streets").isEmpty():
         say.warn(f"no streets in {args.database}; run join first")
     elif not rows:
@@ -154,7 +159,7 @@ def run_kpi(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> Non
 def run_alias(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
     mapping = files.parse_aliases(args.aliases or files.alias_path(args.database))
     files.check_aliases(mapping)
-    store = Store(spark, str(args.database))
+    store = Store(spark, args.database)
     made, table = store.read("streets"), aliases.mapping_frame(spark, mapping)
     missing = sorted(r.variant for r in aliases.unknown(table, made).collect())
     if missing:
@@ -169,7 +174,7 @@ def run_alias(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> N
 
 
 def run_cities(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> None:
-    store = Store(spark, str(args.database))
+    store = Store(spark, args.database)
     if not store.present():
         raise FileNotFoundError(f"{args.database} does not exist; run extract first")
     wanted = files.parse_patterns(args.patterns)
@@ -178,7 +183,7 @@ def run_cities(spark: SparkSession, args: argparse.Namespace, say: Reporter) ->
     towns = cities.municipalities(store.read("areas"), args.region)
     found = points.matched_ways(store.read("ways"), wanted.includes, wanted.excludes).unionByName(points.matched_squares(store.read("squares"), wanted.includes, wanted.excludes))
     flagged = cities.flagged(towns, found).persist()
-    column, out = args.patterns.stem, files.cities_path(args.database)
+    column, out = paths.stem_of(args.patterns), files.cities_path(args.database)
     rows = sinks.write_report(spark, out, cities.report(flagged, column), column)
     say.progress(f"cities: {flagged.where('matched').count()} of {rows} ({found.count()} streets and squares) -> {out}")
     if args.map_path is not None:

@@ -138,17 +138,38 @@ def distance2(s: str, t: str) -> Column:
     return F.when(crossing(s, t), 0.0).otherwise(F.least(*(foot(p, k, q) for p, q in ((s, t), (t, s)) for k in "ab")))
 
 
-def covers(geometry: Column, x: Column, y: Column) -> Column:
-    """Whether a multipolygon (polygons of rings, holes included) covers a point; borders belong to it.
+def project_geometry(geometry: Column, projection: Identity | TransverseMercator) -> Column:
+    """Every vertex of a multipolygon (lon and lat as x and y) in the plane."""
 
-    Even-odd rule over all rings, or the point on any ring's line.
-    """
+    def place(p: Column) -> Column:
+        x, y = projection.xy(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(geometry, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, place)))
+
+
+def edge_list(geometry: Column) -> Column:
+    """Structs (ax, ay, bx, by) of all sides of all rings; open rings are closed."""
 
     def edges(ring: Column) -> Column:
         return F.transform(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), lambda p, i: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), F.get(ring, i + 1)["x"].alias("bx"), F.get(ring, i + 1)["y"].alias("by")))
 
     every = F.transform(F.flatten(geometry), lambda r: edges(F.when(r[0] == F.get(r, F.size(r) - 1), r).otherwise(F.concat(r, F.slice(r, 1, 1)))))
-    every = F.flatten(every)
+    return F.flatten(every)
+
+
+def edges_for(edges: Column, x0: Column, y0: Column, y1: Column) -> Column:
+    """The sides that can matter to points right of x0 between y0 and y1: ``covered`` says the same with them as with all."""
+    return F.filter(edges, lambda e: (F.greatest(e["ay"], e["by"]) >= y0) & (F.least(e["ay"], e["by"]) <= y1) & (F.greatest(e["ax"], e["bx"]) >= x0))
+
+
+def covers(geometry: Column, x: Column, y: Column) -> Column:
+    """Whether a multipolygon (polygons of rings, holes included) covers a point; borders belong to it."""
+    return covered(edge_list(geometry), x, y)
+
+
+def covered(every: Column, x: Column, y: Column) -> Column:
+    """The same from the multipolygon's sides: even-odd rule over all rings, or the point on any ring's line."""
     crosses = F.filter(every, lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < e["ax"] + (y - e["ay"]) * (e["bx"] - e["ax"]) / (e["by"] - e["ay"])))
     touches = F.exists(every, lambda e: ((e["bx"] - e["ax"]) * (y - e["ay"]) == (e["by"] - e["ay"]) * (x - e["ax"])) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
     return touches | (F.size(crosses) % 2 == 1)

@@ -19,16 +19,20 @@ def _hits(points: DataFrame, areas: DataFrame, cell: float = 0.25) -> DataFrame:
     """Point and area columns of each point an area covers, borders included.
 
     An area lists the grid cells of its box, a point has one; the join is on the cell, whatever the
-    number of areas. Only then the polygons come in, by area_seq, so a large one is not copied for
-    each of its cells, and the exact test runs on what shares a box.
+    number of areas. To each cell goes only what of the outline can matter to points in it, so the
+    exact test costs a point a few sides and a large outline is not copied for each of its cells.
     """
     span = lambda k: F.sequence(F.floor(F.col(f"box.{k}0") / cell), F.floor(F.col(f"box.{k}1") / cell))
-    listed = areas.select("area_seq", geo.bounds(F.col("geometry")).alias("box")).where("box.x0 is not null")
-    listed = listed.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    keep = [c for c in areas.columns if c != "geometry"]
+    listed = areas.select(*keep, geo.bounds(F.col("geometry")).alias("box"), geo.edge_list(F.col("geometry")).alias("sides")).where("box.x0 is not null")
+    # Rows of cells first, with what reaches each row; then the cells of a row.
+    low = F.col("cy") * cell
+    listed = listed.withColumn("cy", F.explode(span("y"))).withColumn("sides", geo.edges_for(F.col("sides"), F.col("box.x0"), low, low + cell))
+    listed = listed.withColumn("cx", F.explode(span("x"))).withColumn("sides", geo.edges_for(F.col("sides"), F.col("cx") * cell, low, low + cell))
     dealt = points.withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell))
     in_box = F.col("lon").between(F.col("box.x0"), F.col("box.x1")) & F.col("lat").between(F.col("box.y0"), F.col("box.y1"))
-    near = dealt.join(listed, ["cx", "cy"]).where(in_box).drop("cx", "cy", "box")
-    return near.join(areas, "area_seq").where(geo.covers(F.col("geometry"), F.col("lon"), F.col("lat")))
+    near = dealt.join(listed, ["cx", "cy"]).where(in_box & geo.covered(F.col("sides"), F.col("lon"), F.col("lat")))
+    return near.drop("cx", "cy", "box", "sides")
 
 
 def flagged(areas: DataFrame, points: DataFrame) -> DataFrame:
@@ -53,7 +57,7 @@ def municipalities(areas: DataFrame, region_id: int | None = None) -> DataFrame:
     # The last boundary read under an id holds; one row.
     region = parents.where(F.col("osm_id") == region_id).orderBy(F.desc("area_seq")).limit(1).select(F.col("geometry").alias("region"))
     if region.isEmpty():
-        known = [str(r.osm_id) for r in parents.select("osm_id").distinct().orderBy("osm_id").limit(100).collect()]
+        known = [str(r.osm_id) for r in parents.select("osm_id").distinct().orderBy("osm_id").collect()]  # a few thousand boundaries at most
         raise RegionError(f"no boundary relation/{region_id}; known parents: {', '.join(known) or 'none'}")
     spot = geo.inner_point(F.col("geometry"))
     kept = towns.withColumn("spot", spot).join(F.broadcast(region)).where(geo.covers(F.col("region"), F.col("spot.x"), F.col("spot.y")))

@@ -43,7 +43,7 @@ def _unit(name: str, invert: bool) -> Column:
 
 
 def kpis(points: DataFrame, min_count: int = 20, projection: geo.Identity | geo.TransverseMercator | None = None, areas: DataFrame | None = None) -> DataFrame:
-    """A row of KPI_COLUMNS for every name with more than ``min_count`` points, most skewed first."""
+    """A row of KPI_COLUMNS for every name with more than ``min_count`` points, most skewed first (scores that differ by less than a billionth are ties)."""
     x, y = (projection or geo.TransverseMercator()).xy(F.col("lon"), F.col("lat"))
     rows = points.select("norm_name", "lon", "lat", x.alias("x"), y.alias("y"))
     names = rows.groupBy("norm_name").agg(F.count("*").alias("count"), F.avg("lon").alias("mean_lon"), F.avg("lat").alias("mean_lat"), (F.sqrt(F.var_pop("x") + F.var_pop("y")) / 1000).alias("std_distance_km"))
@@ -62,4 +62,4 @@ def kpis(points: DataFrame, min_count: int = 20, projection: geo.Identity | geo.
     scored = names.join(F.broadcast(ends))  # one row
     units = F.filter(F.array(*(_unit(c, inv) for c, inv in parts.items())), lambda v: v.isNotNull())
     score = F.when(F.size(units) > 0, F.aggregate(units, F.lit(0.0), lambda a, v: a + v) / F.size(units)).otherwise(0.0)
-    return scored.withColumn("skew_score", score).select(*KPI_COLUMNS).orderBy(F.desc("skew_score"), "norm_name")
+    return scored.withColumn("skew_score", score).select(*KPI_COLUMNS).orderBy(F.desc(F.round("skew_score", 9)), "norm_name")

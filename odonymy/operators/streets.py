@@ -6,7 +6,7 @@ exist per norm_name only; two ways of different norm_name never join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odonymy.functions import geo
@@ -106,6 +106,20 @@ def streets(labelled: DataFrame) -> DataFrame:
     return grouped.join(display_names(labelled), "norm_name").select("norm_name", "name", "way_ids", F.col("component").alias("street_id"))
 
 
+def street_count(way_ids: Column) -> Column:
+    """Number of distinct ways of a street."""
+    return F.size(F.array_distinct(way_ids)).cast("long")
+
+
+def ids_to_json(way_ids: Column) -> Column:
+    """Way ids as a JSON array, for files that know no arrays."""
+    return F.to_json(way_ids)
+
+
+def ids_from_json(text: Column) -> Column:
+    return F.from_json(text, "array<long>")
+
+
 def street_groups(streets_: DataFrame) -> DataFrame:
     """Number of distinct streets and least name of each key."""
     return streets_.groupBy("norm_name").agg(F.min("name").alias("name"), F.count("*").alias("count"))
@@ -124,7 +138,7 @@ def near_misses(ways: DataFrame, threshold: float, projection: Projection | None
     """Pairs of streets of one group whose gap is at least the threshold and under twice that.
 
     Streets without a measurable way have no gap. street_id is the least measurable way; the way and
-    the node next to the gap describe each side. Ordered by distance, then by the ids.
+    the node next to the gap describe each side. Ordered by distance (to a micrometre), then by the ids.
     """
     projection = projection or geo.TransverseMercator()
     # Distances once, out to twice the threshold; those within it are what joins ways.
@@ -142,7 +156,7 @@ def near_misses(ways: DataFrame, threshold: float, projection: Projection | None
     best = best.withColumn("distance_m", F.sqrt("d2")).where((F.col("distance_m") >= threshold) & (F.col("distance_m") < 2 * threshold))
     best = materialize(best.select("norm_name", "street_id_a", "street_id_b", F.col("m.a").alias("way_id_a"), F.col("m.b").alias("way_id_b"), "distance_m"), "near-misses")
     named = best.join(display_names(ways.join(best.select("norm_name").distinct(), "norm_name", "left_semi")), "norm_name").join(_gap_nodes(best, ways, projection), ["way_id_a", "way_id_b"], "left")
-    return named.select("name", "norm_name", "street_id_a", "street_id_b", "way_id_a", "way_id_b", "node_id_a", "node_id_b", "distance_m").orderBy("distance_m", "street_id_a", "street_id_b")
+    return named.select("name", "norm_name", "street_id_a", "street_id_b", "way_id_a", "way_id_b", "node_id_a", "node_id_b", "distance_m").orderBy(F.round("distance_m", 6), "street_id_a", "street_id_b")
 
 
 def _gap_nodes(best: DataFrame, ways: DataFrame, projection: Projection) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from pathlib import Path
 
+from odonymy.paths import beside, name_of, read_text, stem_of
 from odonymy.sources.osm import SUFFIXES
 
 
@@ -16,20 +16,20 @@ class PatternError(ValueError):
     pass
 
 
-def _lines(path: Path) -> list[tuple[int, str, str]]:
+def _lines(path: object) -> list[tuple[int, str, str]]:
     """(number, trimmed, raw) of lines that are neither blank nor comments."""
-    every = path.read_text(encoding="utf-8").splitlines()
+    every = read_text(path).splitlines()
     return [(i, raw.strip(), raw) for i, raw in enumerate(every, 1) if raw.strip() and not raw.strip().startswith("#")]
 
 
-def parse_aliases(path: Path | str) -> dict[str, str]:
+def parse_aliases(path: object) -> dict[str, str]:
     """variant -> canonical of lines ``variant=canonical``; later ``=`` belong to the canonical key.
 
     A key mapped to itself is no mapping. A line without ``=``, an empty side, or a variant given
     twice is an error that names the line.
     """
     out: dict[str, str] = {}
-    for number, line, raw in _lines(Path(path)):
+    for number, line, raw in _lines(path):
         variant, sign, canonical = (part.strip() for part in line.partition("="))
         if not (variant and sign and canonical):
             raise AliasError(f"{path}:{number}: not of the form variant=canonical: {raw!r}")
@@ -54,10 +54,10 @@ class Patterns:
     excludes: list[str] = field(default_factory=list)
 
 
-def parse_patterns(path: Path | str) -> Patterns:
+def parse_patterns(path: object) -> Patterns:
     """LIKE patterns, one a line; after a leading ``-`` (blanks may follow) a name must not match."""
     includes, excludes = [], []
-    for _, line, _ in _lines(Path(path)):
+    for _, line, _ in _lines(path):
         if not line.startswith("-"):
             includes.append(line)
         elif line[1:].strip():
@@ -67,28 +67,28 @@ def parse_patterns(path: Path | str) -> Patterns:
     return Patterns(includes, excludes)
 
 
-def store_path(dump: Path) -> Path:
+def store_path(dump: object) -> str:
     """The dump's name without its suffix (as written), with .db; a folder."""
-    name = dump.name
-    base = next((name[: -len(s)] for s in SUFFIXES if name.endswith(s)), dump.stem)
-    return dump.with_name(f"{base}.db")
+    name = name_of(dump)
+    base = next((name[: -len(s)] for s in SUFFIXES if name.endswith(s)), stem_of(dump))
+    return beside(dump, f"{base}.db")
 
 
-def alias_path(store: Path) -> Path:
-    return store.with_name("aliases.txt")
+def alias_path(store: object) -> str:
+    return beside(store, "aliases.txt")
 
 
-def map_path(store: Path, target: str) -> Path:
-    return store.with_name(f"{store.stem}-{target}.png")
+def map_path(store: object, target: str) -> str:
+    return beside(store, f"{stem_of(store)}-{target}.png")
 
 
-def cities_path(store: Path) -> Path:
-    return store.with_name(f"{store.stem}-cities.csv")
+def cities_path(store: object) -> str:
+    return beside(store, f"{stem_of(store)}-cities.csv")
 
 
-def cities_map_path(store: Path, patterns: Path) -> Path:
-    return store.with_name(f"{store.stem}-{patterns.stem}.png")
+def cities_map_path(store: object, patterns: object) -> str:
+    return beside(store, f"{stem_of(store)}-{stem_of(patterns)}.png")
 
 
-def kpi_path(store: Path) -> Path:
-    return store.with_name(f"{store.stem}-kpi.csv")
+def kpi_path(store: object) -> str:
+    return beside(store, f"{stem_of(store)}-kpi.csv")

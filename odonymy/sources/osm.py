@@ -6,7 +6,6 @@ Raw entities: nodes (node_id, lon, lat, tags), ways (way_id, refs, tags), relati
 
 from __future__ import annotations
 
-import os
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -15,11 +14,14 @@ from pyspark.sql import functions as F
 
 from odonymy.functions import geo
 from odonymy.functions.names import normalize_name
+from odonymy.paths import is_file, name_of
 from odonymy.session import ship
 
 #: Compound suffixes before their endings, so that the longest one wins.
 SUFFIXES = (".osm.pbf", ".osm.xml", ".osm.bz2", ".osm.gz", ".osm", ".pbf")
 LEVELS = ("2", "4", "8")
+#: Kinds of relations whose member ways form an area.
+AREA_TYPES = ("multipolygon", "boundary")
 _TAG = "tag array<struct<_k:string,_v:string>>"
 _XML = {
     "node": f"_id long, _lat double, _lon double, {_TAG}",
@@ -48,13 +50,13 @@ class Dump(NamedTuple):
 
 def detect_format(path: str) -> str | None:
     """The suffix that names the format, whatever its case; None for others."""
-    name = os.path.basename(str(path)).lower()
+    name = name_of(path).lower()
     return next((s for s in SUFFIXES if name.endswith(s)), None)
 
 
 def validate_input(path: str) -> str:
-    """Format of an existing local file, or an error that says what is wrong."""
-    if not os.path.isfile(path):
+    """Format of an existing file, local or remote, or an error that says what is wrong."""
+    if not is_file(path):
         raise MissingInput(f"no such file: {path}")
     found = detect_format(path)
     if found is None:
@@ -91,14 +93,16 @@ def _located(ways: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return ways.join(found.select(key, coords.alias("coords")), key, "left")
 
 
-def highways(nodes: DataFrame, ways: DataFrame, after: int | None = None) -> DataFrame:
+def highways(nodes: DataFrame, ways: DataFrame, after: int | None = None, upto: int | None = None) -> DataFrame:
     """Ways with a highway tag and two located nodes or more: way_id, name (null if untagged), norm_name, node_ids, coords.
 
-    after: only ways with larger ids (resuming); tested before any join.
+    after, upto: only ways with ids over the one and not over the other (resuming); tested before any join.
     """
     kept = ways.where(F.col("tags")["highway"].isNotNull())
     if after is not None:
         kept = kept.where(F.col("way_id") > after)
+    if upto is not None:
+        kept = kept.where(F.col("way_id") <= upto)
     name = F.col("tags")["name"]
     rows = _located(kept.select("way_id", "refs", name.alias("name")), nodes, "way_id").where(F.size("coords") >= 2)
     return rows.select("way_id", "name", normalize_name(F.col("name")).alias("norm_name"), F.col("refs").alias("node_ids"), "coords")
@@ -185,7 +189,7 @@ def assembled(dump: Dump, relations: DataFrame) -> DataFrame:
 def admin_areas(dump: Dump) -> DataFrame:
     """Administrative boundaries of LEVELS from relations, in id order (area_seq)."""
     tag = lambda k: F.col("tags")[k]
-    kept = dump.relations.where((tag("boundary") == "administrative") & tag("admin_level").isin(*LEVELS))
+    kept = dump.relations.where((tag("boundary") == "administrative") & tag("admin_level").isin(*LEVELS) & tag("type").isin(*AREA_TYPES))
     rows = kept.join(assembled(dump, kept), "relation_id")
     names = {"admin_level": "admin_level", "name": "name", "postal_code": "postal_code", "istat": "ref:ISTAT", "catasto": "ref:catasto", "wikidata": "wikidata"}
     return rows.select(F.col("relation_id").alias("area_seq"), F.col("relation_id").alias("osm_id"), F.lit(False).alias("from_way"), *(tag(k).alias(c) for c, k in names.items()), "geometry")
@@ -200,7 +204,7 @@ def squares(dump: Dump) -> DataFrame:
     around = _located(closed, dump.nodes, "way_id").where(F.size("coords") == F.size("refs"))
     ring = F.transform("coords", lambda c: F.struct(c["lon"].alias("x"), c["lat"].alias("y")))
     by_way = around.select(F.col("way_id").alias("osm_id"), name, F.array(F.array(ring)).alias("geometry"))
-    related = dump.relations.where(is_square & F.col("tags")["type"].isin("multipolygon", "boundary"))
+    related = dump.relations.where(is_square & F.col("tags")["type"].isin(*AREA_TYPES))
     by_relation = related.join(assembled(dump, related), "relation_id").select(F.col("relation_id").alias("osm_id"), name, "geometry")
     inner = by_way.unionByName(by_relation).select("osm_id", "name", geo.inner_point(F.col("geometry")).alias("p")).where("p is not null")
     return at_node.unionByName(inner.select("osm_id", "name", F.col("p.x").alias("lon"), F.col("p.y").alias("lat")))

@@ -60,6 +60,13 @@ class Store:
         fs, path = self.fs()
         fs.delete(path(f"{self.path}/{name}"), True)
 
+    def parts(self, folder: str) -> list[str]:
+        """Names under a folder of unfinished work that carry the success mark, ascending."""
+        fs, path = self.fs()
+        at = path(f"{self.path}/{folder}")
+        found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in found if fs.exists(path(f"{self.path}/{folder}/{n}/_SUCCESS")))
+
     def meta(self, key: str) -> int | None:
         row = self.read("meta").where(F.col("key") == key).first()
         return row.value if row else None
