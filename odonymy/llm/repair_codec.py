@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id (of one id: by the text's hash, of equal
 place), into at most ``most_parts`` parts, and lie in ascending order within a file; every
 ``shard_tokens`` ids or so form a shard with a grammar of its own, so memory and the work to
 write or read a shard are bounded. The grammar is Re-Pair in rounds: all adjacent pairs of symbols
-are counted by sorting, those at least a quarter as frequent as the most frequent one are
+are counted by sorting, those at least a sixteenth as frequent as the most frequent one are
 replaced by new symbols at once, and so on until no pair occurs ``min_count`` times. Where chosen
 pairs overlap, every other one of the chain is taken.
 
@@ -36,41 +36,49 @@ from odonymy.llm.tokens import encoder
 from odonymy.session import scratch_path
 
 STEP = 1024
+TABLE_BITS = 20
 FILE = "part int, seq int, n_ids long, doc_ids binary, no_id binary, doc_sizes binary, base int, rules binary, rule_sizes binary, symbols binary, positions binary"
 
 
-def compress(ids: np.ndarray, min_count: int = 8, share: int = 4) -> tuple[np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, min_count: int = 8, share: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules as rows of two symbols, first rule's symbol)."""
     seq = ids.astype(np.int32)
     base = int(seq.max()) + 1 if len(seq) else 1
     rules: list[np.ndarray] = []
     made = 0
     while len(seq) > 1:
-        wide = np.int64(base + made)
-        pair = seq[:-1] * wide + seq[1:]
+        # A pair is never more frequent than its symbols: the others are all 0.
+        often = np.flatnonzero(np.bincount(seq, minlength=base + made) >= min_count)
+        wide, kind = len(often) + 1, np.uint32 if len(often) < (1 << 16) - 1 else np.uint64
+        rank = np.zeros(base + made, kind)
+        rank[often] = np.arange(1, wide)
+        r = rank[seq]
+        pair = r[:-1] * kind(wide) + r[1:]
         ordered = np.sort(pair)
-        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(head, len(ordered)))
+        head = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+        count, every = np.diff(np.append(head, len(ordered))), ordered[head]
+        count[(every < wide) | (every % kind(wide) == 0)] = 0
         if count.max() < min_count:
             break
-        chosen = ordered[head[count >= max(min_count, int(count.max()) // share)]]
-        # Places whose symbols are both in some chosen pair, then those of chosen pairs.
-        first, second = np.zeros(wide, bool), np.zeros(wide, bool)
-        first[chosen // wide], second[chosen % wide] = True, True
-        at = np.flatnonzero(first[seq[:-1]] & second[seq[1:]])
-        rule = np.minimum(np.searchsorted(chosen, pair[at]), len(chosen) - 1)
-        hit = chosen[rule] == pair[at]
-        at, rule = at[hit], rule[hit]
+        chosen = every[count >= max(min_count, int(count.max()) // share)]
+        # Chosen pairs stand in a table by hash; one whose place is taken waits for the next round.
+        slot = lambda x: (x * kind(0x9E3779B97F4A7C15 >> (64 - 8 * x.itemsize) | 1)) >> kind(8 * x.itemsize - TABLE_BITS)
+        table, number = np.zeros(1 << TABLE_BITS, kind), np.zeros(1 << TABLE_BITS, np.int32)
+        table[slot(chosen)] = chosen
+        chosen = chosen[table[slot(chosen)] == chosen]
+        number[slot(chosen)] = np.arange(len(chosen))
+        place = slot(pair)
+        at = np.flatnonzero((table[place] == pair) & (pair != 0))
         # In a chain of overlapping pairs the 1st, 3rd, 5th ... are taken.
-        head = np.ones(len(at), bool)
-        head[1:] = at[1:] != at[:-1] + 1
-        chain = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at, rule = at[chain % 2 == 0], rule[chain % 2 == 0]
-        seq[at] = base + made + rule
+        first = np.ones(len(at), bool)
+        first[1:] = at[1:] != at[:-1] + 1
+        chain = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+        at = at[chain % 2 == 0]
+        seq[at] = base + made + number[place[at]]
         left = np.ones(len(seq), bool)
         left[at + 1] = False
         seq = seq[left]
-        rules.append(np.stack([chosen // wide, chosen % wide], 1))
+        rules.append(np.stack([often[chosen // kind(wide) - kind(1)], often[chosen % kind(wide) - kind(1)]], 1))
         made += len(chosen)
     return seq, np.concatenate(rules).astype(np.int32) if rules else np.zeros((0, 2), np.int32), base
 
