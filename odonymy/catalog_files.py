@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from odonymy.functions.names import normalize_name
 from odonymy.operators import aliases, cities, points, stats, streets
 from odonymy.paths import write_text
 from odonymy.plans import overlay as o
-from odonymy.session import scratch_path
+from odonymy.session import scratch_path, ship
 from odonymy.sources import config_files, osm
 from odonymy.store import Store
 from odonymy.streaming import ingest
@@ -63,10 +65,19 @@ def _dump(spark: SparkSession, sf_dir: str) -> osm.Dump:
     named = F.when(w % 9 != 0, _tag("name", F.col("name"))).otherwise("")
     ways = o.ways(spark, sf_dir).select(_way(w, F.col("node_ids"), F.concat(F.when(w % 10 != 0, _tag("highway", "residential")).otherwise(""), named)))
     path = scratch_path(spark, "dump") + ".osm"
-    nodes.union(spots).union(corners).union(rings).union(relations).union(ways).write.text(path)
+    every = nodes.union(spots).union(corners).union(rings).union(relations).union(ways)
+    ship(spark)
+    every.toDF("value").mapInArrow(_rooted, "value string").write.text(path)
     return osm.read(spark, path)
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Makes each piece a document of its own."""
+    yield pa.record_batch({"value": ["<osm>"]})
+    yield from batches
+    yield pa.record_batch({"value": ["</osm>"]})
+
+
 @query(f"WITH {_DUMP_WAYS_SQL} SELECT way_id, name, norm_name, refs, located FROM dump")
 def dump_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     dump = _dump(spark, sf_dir)

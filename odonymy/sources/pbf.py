@@ -1,7 +1,8 @@
 """OSM PBF as a Spark data source: format "osmpbf", option entity = node, way or relation.
 
 The driver reads the headers of the file's blobs and makes a partition of about ``blobs`` of
-them; a task inflates and decodes its own. The format is the public OSM PBF specification:
+them; a task inflates and decodes its own, a record batch for each blob. A blob's kind of entity is
+known only when it is inflated, so each of the three tables reads all of them. The format is the public OSM PBF specification:
 protocol buffer messages of varints, zigzag numbers and delta lists.
 """
 
@@ -13,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,6 +24,13 @@ SCHEMAS = {
     "relation": "relation_id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>",
 }
 KINDS = ("node", "way", "relation")
+_TAGS = ("tags", pa.map_(pa.string(), pa.string()))
+_MEMBER = pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())])
+ARROW = {
+    "node": pa.schema([("node_id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), _TAGS]),
+    "way": pa.schema([("way_id", pa.int64()), ("refs", pa.list_(pa.int64())), _TAGS]),
+    "relation": pa.schema([("relation_id", pa.int64()), ("members", pa.list_(_MEMBER)), _TAGS]),
+}
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -160,10 +169,17 @@ class PbfReader(DataSourceReader):
                 at = start + message[3]
         return [BlobRange(found[i : i + self.blobs]) for i in range(0, len(found), self.blobs)] or [BlobRange([])]
 
-    def read(self, partition: BlobRange) -> Iterator[tuple]:
+    def read(self, partition: BlobRange) -> Iterator[pa.RecordBatch]:
+        schema = ARROW[self.entity]
         with _open(self.path) as f:
             for start, size in partition.blobs:
-                yield from entities(inflate(bytes(f.read_at(size, start))), self.entity)
+                rows = list(entities(inflate(bytes(f.read_at(size, start))), self.entity))
+                if rows:
+                    *columns, tags = zip(*rows, strict=True)
+                    if self.entity == "relation":
+                        columns[1] = [[dict(zip(("type", "ref", "role"), m, strict=True)) for m in members] for members in columns[1]]
+                    columns.append([list(t.items()) for t in tags])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 class PbfSource(DataSource):
