@@ -266,10 +266,13 @@ def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {o.POINTS_SQL}, {c._tm_sql()}, k AS (SELECT norm_name, count(*) AS n, avg(lon) AS lon, avg(lat) AS lat, sqrt(var_pop(x) + var_pop(y)) / 1000 AS s FROM metric GROUP BY 1 HAVING count(*) > 5),
 u AS (SELECT *, CASE WHEN max(s) OVER () = min(s) OVER () THEN 0 ELSE 1 - (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) END AS score FROM k)
-SELECT '{",".join(stats.KPI_COLUMNS)}' AS line UNION ALL SELECT norm_name || ',' || n || ',' || printf('%.6f', lon) || ',' || printf('%.6f', lat) || ',' || printf('%.3f', s) || ',,,,,,' || printf('%.4f', score) FROM u""")
+SELECT '{",".join(stats.KPI_COLUMNS)}' AS line UNION ALL SELECT norm_name || ',' || n || ',' || printf('%.6f', round(lon, 9)) || ',' || printf('%.6f', round(lat, 9)) || ',' || printf('%.3f', round(s, 9)) || ',,,,,,' || printf('%.4f', round(score, 9)) FROM u""")
 def kpi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = io.StringIO()
-    sinks.write_kpis(stats.kpis(c._points(spark, sf_dir), 5).toLocalIterator(), text)
+    found = stats.kpis(c._points(spark, sf_dir), 5)
+    # Means may lie half-way between two printed numbers: what both sides print is rounded alike before.
+    found = found.select(*(F.round(k, 9).alias(k) if t == "double" else k for k, t in found.dtypes))
+    sinks.write_kpis(found.toLocalIterator(), text)
     return _text_lines(spark, text.getvalue()).select("line")
 
 
@@ -296,13 +299,13 @@ def alias_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aliases.mapping_frame(spark, mapping).select((F.col("line") + 1).alias("line"), "variant", "canonical")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE (translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%a_3%' OR p_name LIKE '%2') AND p_name NOT LIKE '%7%'")
+@query("SELECT p_partkey, p_name FROM part WHERE (translate(p_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%r_d%' OR p_name LIKE '% gear') AND p_name NOT LIKE '%hot%'")
 def pattern_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that a pattern file asks for."""
     from odonymy.functions.names import matches
 
     path = scratch_path(spark, "patterns") + ".txt"
-    write_text(path, "# names\n%A_3%\n\n%2\n-  %7%\n-\n", spark)
+    write_text(path, "# names\n%R_d%\n\n% GEAR\n-  %hot%\n-\n", spark)
     wanted = config_files.parse_patterns(path)
     return o.table(spark, sf_dir, "part").where(matches(F.col("p_name"), wanted.includes, wanted.excludes)).select("p_partkey", "p_name")
 
