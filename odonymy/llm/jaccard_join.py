@@ -293,15 +293,17 @@ def _links(members: DataFrame, percent: int, cap: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose id is the least of their class, with their own columns (one row for an id and text; null ids all stay)."""
-    classes = similar(docs, size, percent).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    classes = similar(docs, size, percent).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    # Rows as one column, so that none of theirs stands beside ours.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     # Only rows of ids that occur more than once are grouped by text; all other rows are as they were.
-    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return docs.join(classes, "doc_id", "left_anti").select(docs.columns)
-    once = docs.join(classes.union(again), "doc_id", "left_anti").select(docs.columns)
-    copies = docs.join(again, "doc_id", "left_semi").join(classes, "doc_id", "left_anti")
-    copies = copies.withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", "_sha"])
-    return once.union(copies.select(docs.columns))
+    again = materialize(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids", 8)
+    left = rows.join(classes, "id", "left_anti")
+    if not again.isEmpty():
+        copies = left.join(again, "id", "left_semi").dropDuplicates(["id", "a", "b"])
+        left = left.join(again, "id", "left_anti").unionByName(copies)
+    return left.select("row.*")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, dim: int = 8, e
     ids = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got.column("i").to_pylist()]
     freq = [np.frombuffer(x, np.float32) for x in got.column("f").to_pylist()]
     rng = np.random.default_rng(5)
-    table = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
+    table = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32).T.copy()  # a row for each dimension
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     steps, done = epochs * -(-len(y) // batch), 0
     for _ in range(epochs):
@@ -108,9 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, dim: int = 8, e
             idx = np.concatenate([ids[i] for i in pick])
             wgt = np.concatenate([freq[i] for i in pick])
             bounds = np.concatenate([[0], np.cumsum([len(ids[i]) for i in pick])])
-            vec = table[idx] * wgt[:, None]
-            total = np.concatenate([np.zeros((1, dim), np.float32), np.cumsum(vec, 0, dtype=np.float64)])
-            mean = (total[bounds[1:]] - total[bounds[:-1]]).astype(np.float32)
+            mean = np.stack([_sums(table[d][idx] * wgt, bounds[:-1], bounds[1:]) for d in range(dim)], 1).astype(np.float32)
             z = mean @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -119,12 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, dim: int = 8, e
             down = p @ out.T
             out -= lr * mean.T @ p / len(pick) * 4
             bias -= lr * p.mean(0) * 0.1
-            grad = np.repeat(down, np.diff(bounds), 0) * wgt[:, None]
-            u, inv = np.unique(idx, return_inverse=True)
+            width = np.diff(bounds)
             for d in range(dim):
-                table[u, d] -= lr * np.bincount(inv, grad[:, d], len(u)).astype(np.float32)
+                table[d] -= lr * np.bincount(idx, np.repeat(down[:, d], width) * wgt, 1 << BITS).astype(np.float32)
             done += 1
-    return Model((table @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+    return Model(((out[:, 1] - out[:, 0]) @ table).astype(np.float64), float(bias[1] - bias[0]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

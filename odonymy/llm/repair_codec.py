@@ -36,51 +36,79 @@ from odonymy.llm.tokens import encoder
 from odonymy.session import scratch_path
 
 STEP = 1024
-TABLE_BITS = 20
+TABLE_BITS, CHUNK = 20, 1 << 17
 FILE = "part int, seq int, n_ids long, doc_ids binary, no_id binary, doc_sizes binary, base int, rules binary, rule_sizes binary, symbols binary, positions binary"
 
 
 def compress(ids: np.ndarray, min_count: int = 8, share: int = 16) -> tuple[np.ndarray, np.ndarray, int]:
     """(symbols, rules as rows of two symbols, first rule's symbol)."""
-    seq = ids.astype(np.int32)
-    base = int(seq.max()) + 1 if len(seq) else 1
+    base = int(ids.max()) + 1 if len(ids) else 1
+    # Worked on are dense numbers: the ids that occur, then the rules.
+    freq = np.bincount(ids, minlength=base)
+    names = np.flatnonzero(freq)
+    freq, dense = freq[names], np.zeros(base, np.uint32)
+    dense[names] = np.arange(len(names))
+    seq = dense[ids]
     rules: list[np.ndarray] = []
-    made = 0
     while len(seq) > 1:
-        # A pair is never more frequent than its symbols: the others are all 0.
-        often = np.flatnonzero(np.bincount(seq, minlength=base + made) >= min_count)
-        wide, kind = len(often) + 1, np.uint32 if len(often) < (1 << 16) - 1 else np.uint64
-        rank = np.zeros(base + made, kind)
-        rank[often] = np.arange(1, wide)
-        r = rank[seq]
-        pair = r[:-1] * kind(wide) + r[1:]
+        wide = len(freq)
+        if wide < 1 << 16:
+            kind, part, back = np.uint32, seq, np.arange(wide)
+        else:
+            # A pair is never more frequent than its symbols: the rare ones share a number, whose pairs don't count.
+            back = np.concatenate([[-1], np.flatnonzero(freq >= min_count)])
+            rank = np.zeros(wide, np.uint32)
+            rank[back[1:]] = np.arange(1, len(back))
+            part, wide = rank[seq], len(back)
+            kind = np.uint32 if wide < 1 << 16 else np.uint64
+        pair = part[:-1] * kind(wide) + part[1:].astype(kind, copy=False)
         ordered = np.sort(pair)
         head = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
         count, every = np.diff(np.append(head, len(ordered))), ordered[head]
-        count[(every < wide) | (every % kind(wide) == 0)] = 0
+        if back[0] < 0:
+            count[(every < wide) | (every % kind(wide) == 0)] = 0
         if count.max() < min_count:
             break
         chosen = every[count >= max(min_count, int(count.max()) // share)]
-        # Chosen pairs stand in a table by hash; one whose place is taken waits for the next round.
-        slot = lambda x: (x * kind(0x9E3779B97F4A7C15 >> (64 - 8 * x.itemsize) | 1)) >> kind(8 * x.itemsize - TABLE_BITS)
-        table, number = np.zeros(1 << TABLE_BITS, kind), np.zeros(1 << TABLE_BITS, np.int32)
-        table[slot(chosen)] = chosen
-        chosen = chosen[table[slot(chosen)] == chosen]
-        number[slot(chosen)] = np.arange(len(chosen))
-        place = slot(pair)
-        at = np.flatnonzero((table[place] == pair) & (pair != 0))
+        at, rule, chosen = _places(pair, chosen)
         # In a chain of overlapping pairs the 1st, 3rd, 5th ... are taken.
         first = np.ones(len(at), bool)
         first[1:] = at[1:] != at[:-1] + 1
         chain = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at = at[chain % 2 == 0]
-        seq[at] = base + made + number[place[at]]
+        at, rule = at[chain % 2 == 0], rule[chain % 2 == 0]
+        two = np.stack([back[chosen // kind(wide)], back[chosen % kind(wide)]], 1)
+        seq[at] = rule + len(freq)
         left = np.ones(len(seq), bool)
         left[at + 1] = False
         seq = seq[left]
-        rules.append(np.stack([often[chosen // kind(wide) - kind(1)], often[chosen % kind(wide) - kind(1)]], 1))
-        made += len(chosen)
-    return seq, np.concatenate(rules).astype(np.int32) if rules else np.zeros((0, 2), np.int32), base
+        made = np.bincount(rule, minlength=len(chosen))
+        np.subtract.at(freq, two, made[:, None])
+        freq = np.concatenate([freq, made])
+        rules.append(two)
+    symbol = np.concatenate([names, base + np.arange(len(freq) - len(names))]).astype(np.int32)
+    return symbol[seq], symbol[np.concatenate(rules)] if rules else np.zeros((0, 2), np.int32), base
+
+
+def _places(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of chosen pairs, number of each one's pair, the chosen pairs).
+
+    Chosen pairs stand in a table by hash; one whose place is taken is left out and waits for the next round.
+    """
+    kind, bits = pair.dtype.type, 8 * pair.itemsize
+    slot = lambda x: (x * kind(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> kind(bits - TABLE_BITS)
+    table, number = np.zeros(1 << TABLE_BITS, kind), np.full(1 << TABLE_BITS, -1, np.int32)
+    table[slot(chosen)] = chosen
+    chosen = chosen[table[slot(chosen)] == chosen]
+    number[slot(chosen)] = np.arange(len(chosen))
+    found = []
+    for start in range(0, len(pair), CHUNK):  # small pieces stay in the cache
+        some = pair[start : start + CHUNK]
+        place = slot(some)
+        hit = np.flatnonzero(table[place] == some)
+        rule = number[place[hit]]
+        found.append((hit[rule >= 0] + start, rule[rule >= 0]))
+    at, rule = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+    return at, rule, chosen
 
 
 def rule_sizes(rules: np.ndarray, base: int) -> np.ndarray:
@@ -118,8 +146,8 @@ class Grammar:
         size = np.concatenate([np.ones(self.base, np.int64), self.sizes])
         first = np.cumsum(size) - size
         n = size[self.symbols]
-        total = np.cumsum(n)
-        return flat[np.repeat(first[self.symbols] - total + n, n) + np.arange(total[-1] if len(total) else 0)]
+        shift = (first[self.symbols] - np.cumsum(n) + n).astype(np.int32)  # a shard has fewer than 2**31 ids
+        return flat[np.repeat(shift, n) + np.arange(self.n_ids, dtype=np.int32)]
 
     def read_range(self, start: int, stop: int) -> np.ndarray:
         """Ids start..stop of the shard, from the symbols that hold them."""
@@ -147,7 +175,7 @@ def _shard(part: int, seq: int, docs: list, sizes: list[np.ndarray], ids: list[n
     return pa.record_batch({k: pa.array([v], types.get(k, pa.binary())) for k, v in row.items()})
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = 4_000_000, part_bytes: int = 24 << 20, most_parts: int = 20_000) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = 2_000_000, part_bytes: int = 24 << 20, most_parts: int = 20_000) -> None:
     """Encodes every document and writes the shards under ``path``.
 
     Range bounds come from a sample of keys that Spark takes by itself, at most a few million.

@@ -103,8 +103,7 @@ def _final(row: dict, text: str | None, gone: np.ndarray | None, keep_text: bool
         spans = [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)]
         words = list(pick(words, (~gone).tolist()))
     rest = b" ".join(words)
-    # With keep_text a document that loses nothing keeps its text as it was, white space and all.
-    kept = (rest.decode() if spans else text) if keep_text else None
+    kept = rest.decode() if spans and keep_text else None
     return row | {"n_removed": sum(s["end"] - s["start"] for s in spans), "kept_sha256": hashlib.sha256(rest).hexdigest(), "kept_text": kept, "removed": spans}
 
 
@@ -124,7 +123,7 @@ def _results(docs: DataFrame, length: int, keep_text: bool, block_bytes: int) ->
     buckets = max(24, blocks // 3)
     levels = level_lengths(length)
     # Stored tables have a file for every so many blocks: each file costs a task and, on some file systems, processes.
-    few = max(8, blocks // 24)
+    few = max(8, blocks // 8)
     pairs = materialize(docs.groupBy("doc_id", "a", "b").agg(F.count("*").alias("rows")), "dedup-texts", few)
     leads = pairs.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"))
     again = materialize(pairs.where("rows > 1").select("doc_id", "a", "b"), "dedup-repeated", few)
@@ -268,7 +267,7 @@ def _level(level: DataFrame, turn: int, levels: list[int], buckets: int, keep_te
 
 
 def find(docs: DataFrame, length: int = 13, keep_text: bool = False, block_bytes: int = 3 << 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256, kept_text (if asked for) and removed, the word ranges taken out."""
+    """Per document: doc_id, n_words, n_removed, kept_sha256, kept_text (if asked for and words were taken out; else the text is as it was) and removed, the word ranges taken out."""
     docs = _keyed(docs)
     rows = docs.where("doc_id is not null")
     out, again = _results(rows, length, keep_text, block_bytes)
@@ -277,7 +276,7 @@ def find(docs: DataFrame, length: int = 13, keep_text: bool = False, block_bytes
         key = rows.select(F.col("doc_id").alias("i"), F.col("a").alias("x"), F.col("b").alias("y"))
         out = key.join(out, (F.col("i") == F.col("doc_id")) & (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))).select(*RESULT)
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    lost = docs.where("doc_id is null").select("doc_id", F.size(words).cast("long"), F.lit(0).cast("long"), F.sha2(F.concat_ws(" ", words).cast("binary"), 256), F.col("text") if keep_text else F.lit(None).cast("string"), F.expr("cast(array() as array<struct<start:long,end:long>>)"))
+    lost = docs.where("doc_id is null").select("doc_id", F.size(words).cast("long"), F.lit(0).cast("long"), F.sha2(F.concat_ws(" ", words).cast("binary"), 256), F.lit(None).cast("string"), F.expr("cast(array() as array<struct<start:long,end:long>>)"))
     return out.drop("a", "b").union(lost)
 
 
