@@ -29,8 +29,9 @@ STREET_TYPES = (
 )
 #: Letters and numbers of any script; the four last ones fold to Latin but are newer than Java's tables.
 _OTHER = r"[^\p{L}\p{N}\x{A7F2}-\x{A7F4}\x{107A5}]+"
-#: From here on characters are looked up in the long list only if one of them occurs.
-_RARE = "\u0250"
+_TOKEN = _OTHER.replace("[^", "[")
+#: From here on a character may be one of those that fold to several; below, they are named one by one.
+_FAR = "\u0250"
 
 
 def folded(text: str) -> str:
@@ -61,13 +62,11 @@ def _tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def fold(text: Column) -> Column:
     """Lower-case text with diacritics folded, as far as it gives [a-z0-9]; other characters stay or go."""
     source, target, longer = _tables()
-    marks = F.translate(text, source, target)
-    for c, to in longer:
-        if c < _RARE:
-            marks = F.replace(marks, F.lit(c), F.lit(to))
+    marks = F.replace(F.translate(text, source, target), F.lit("ß"), F.lit("ss"))
     # What else folds to several characters is hardly ever there: only rows that hold some are gone through.
-    rare = [(c, to) for c, to in longer if c >= _RARE]
-    there = text.rlike(f"[\\x{{{ord(_RARE):X}}}-\\x{{10FFFF}}]") & (F.translate(text, "".join(c for c, _ in rare), "") != text)
+    rare = [(c, to) for c, to in longer if c != "ß"]
+    low = "".join(c for c, _ in rare if c < _FAR)
+    there = text.rlike(f"[{low}\\x{{{ord(_FAR):X}}}-\\x{{10FFFF}}]") & (F.translate(text, "".join(c for c, _ in rare), "") != text)
     table = F.array(*(F.array(F.lit(c), F.lit(to)) for c, to in rare))
     return F.when(there, F.aggregate(table, marks, lambda a, x: F.replace(a, x[0], x[1]))).otherwise(marks)
 
@@ -88,7 +87,10 @@ def normalize_name(name: Column) -> Column:
 
 def first_word(name: Column) -> Column:
     """First token with a letter or digit left after folding; null if there is none."""
-    return F.nullif(F.regexp_extract(F.regexp_replace(_token_lines(name), r"[^a-z0-9\n]+", ""), "[a-z0-9]+", 0), F.lit(""))
+    # Nearly always that is the first token; only where nothing is left of it the others are looked at.
+    plain = F.regexp_replace(fold(F.regexp_extract(name, _TOKEN, 0)), "[^a-z0-9]+", "")
+    later = F.regexp_extract(F.regexp_replace(_token_lines(name), r"[^a-z0-9\n]+", ""), "[a-z0-9]+", 0)
+    return F.when(plain != "", plain).otherwise(F.nullif(later, F.lit("")))
 
 
 def is_street_type(word: Column) -> Column:
