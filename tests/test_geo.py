@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from odonymy.functions import geo
+from odonymy.operators import cities
 
 
 def polygon(*rings):
@@ -81,3 +82,26 @@ def test_projection_keeps_known_distances(spark):
 def test_middle_vertex(spark):
     rows = spark.createDataFrame([([1, 2, 3],), ([1, 2],), ([],)], "c array<int>")
     assert [r[0] for r in rows.select(geo.middle(F.col("c"))).collect()] == [2, 2, None]
+
+
+def test_clipped_outlines_cover_the_same_points(spark):
+    """Random rings (crossing themselves, with holes, open) and points on and off their lines: cell by cell as with all sides."""
+    rng = random.Random(5)
+    spot = lambda: {"x": float(rng.randint(0, 12)), "y": float(rng.randint(0, 12))}
+    ring = lambda: [spot() for _ in range(rng.randint(3, 9))]
+    shapes = []
+    for i in range(30):
+        rings = [ring() for _ in range(rng.randint(1, 3))]
+        shapes.append((i, [[r + r[:1] if rng.random() < 0.7 else r for r in rings]]))
+    areas = spark.createDataFrame(shapes, f"area_seq long, geometry {geo.POLYGONS}")
+    points = spark.createDataFrame([(x / 2, y / 2) for x in range(-2, 27) for y in range(-2, 27)], "lon double, lat double")
+    want = {(r.area_seq, r.lon, r.lat) for r in points.crossJoin(areas).where(geo.covers(F.col("geometry"), F.col("lon"), F.col("lat"))).collect()}
+    for cell in (0.7, 2.5, 100.0):
+        got = cities._hits(points, areas, cell).select("area_seq", "lon", "lat").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_project_geometry_keeps_the_shape(spark):
+    shape = [[[{"x": 12.0, "y": 42.0}, {"x": 12.1, "y": 42.0}, {"x": 12.0, "y": 42.1}, {"x": 12.0, "y": 42.0}]]]
+    row = spark.createDataFrame([(shape,)], f"g {geo.POLYGONS}").select(geo.project_geometry(F.col("g"), geo.TransverseMercator()).alias("p")).first()
+    assert [len(r) for p in row.p for r in p] == [4] and row.p[0][0][0].x == pytest.approx(7_000_000)

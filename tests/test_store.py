@@ -54,6 +54,53 @@ def test_join_goes_on_with_unfinished_buckets(store, spark):
     assert sorted(map(tuple, store.read("streets").select("norm_name", "street_id").collect())) == whole
 
 
+def dump(spark, ids):
+    nodes = spark.createDataFrame([(n, n / 1000, 45.0) for n in range(40)], "node_id long, lon double, lat double")
+    rows = [(i, [k % 40, (k + 1) % 40], {"highway": "x", "name": f"Via {i}"} if i % 3 else {"highway": "x"}) for k, i in enumerate(ids)] + [(777, [1, 2], {"name": "no highway"})]
+    return nodes, spark.createDataFrame(rows, "way_id long, refs array<long>, tags map<string,string>")
+
+
+@pytest.mark.parametrize("steps", [1, 3, 50])
+def test_extraction_in_steps_has_every_way_once(store, spark, steps):
+    ids = [*range(-5, 12), 2**40]
+    assert ingest.extract_in_steps(store, *dump(spark, ids), steps) == (18, sum(i % 3 == 0 for i in ids))
+    assert sorted(r.way_id for r in store.read("ways").collect()) == [i for i in ids if i % 3] and store.parts("ways_parts") == []
+
+
+def test_interrupted_extraction_goes_on_behind_its_cursor(store, spark, monkeypatch):
+    nodes, ways = dump(spark, range(100))
+    inner, seen = ingest.osm.highways, []
+
+    def failing(nodes_, ways_, after, upto):
+        seen.append((after, upto))
+        if len(seen) == 3:
+            raise RuntimeError("driver lost")
+        return inner(nodes_, ways_, after, upto)
+
+    monkeypatch.setattr(ingest.osm, "highways", failing)
+    with pytest.raises(RuntimeError):
+        ingest.extract_in_steps(store, nodes, ways, 4)
+    done = max(map(int, store.parts("ways_parts")))
+    assert store.read("ways").count() == 0 and 0 < done < 99
+    assert ingest.extract_in_steps(store, nodes, ways, 2)[0] == 100
+    assert seen[3][0] == done and store.read("ways").count() == sum(i % 3 != 0 for i in range(100))
+    store.write("ways", store.read("ways").limit(0))
+    assert ingest.extract_in_steps(store, nodes, ways, 2)[0] == 100 and seen[-2][0] is None  # a fresh run
+
+
+def test_extraction_of_nothing(store, spark):
+    nodes, ways = dump(spark, [])
+    assert ingest.extract_in_steps(store, nodes, ways) == (0, 0) and store.read("ways").count() == 0
+
+
+def test_last_row_of_an_id_wins(store, spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = [way(1, name, 1, 2) for name in ("Via Z", "Via A", "Via M")]
+    spark.createDataFrame(rows, ingest.RAW).coalesce(1).write.parquet(source)
+    ingest.follow_ways(spark, source, store, str(tmp_path / "check"))
+    assert [r.name for r in store.read("ways").collect()] == ["Via M"] and store.meta("parsed_count") == 3
+
+
 def test_views(store, spark):
     store.register_views()
     assert spark.sql("SELECT count(*) FROM street_groups").first()[0] == 0
