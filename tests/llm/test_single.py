@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from odonymy.llm import language, quality, queries, rules, token_rollup, toxicity
+from odonymy.llm import language, quality, queries, rules, samples, token_rollup, toxicity
 from odonymy.llm.frames import table
 
 SF = "/root/testdata/sf0.1"
@@ -62,6 +63,34 @@ def plain(spark, frame):
     return frame(rows), labels_of(spark, marks), dict(rows)
 
 
+def test_scores_do_not_depend_on_what_else_is_in_a_batch(spark, plain, frame):
+    """Each text scored by itself, against all in batches of any make-up."""
+    docs, marks, texts = plain
+    some = [*list(texts.items())[:60], *[(10_000 + i, t) for i, (_, t) in enumerate(EDGES) if t is None or len(t) < 1000]]
+    tox, good = toxicity.fit(docs, marks), quality.fit(docs, marks)
+    lang = language.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb")))
+    one = lambda t: pa.array([t], pa.string())
+    want = {d: (float(tox.documents(toxicity.bags(one(t)))[0]), float(good.scores(one(t))[0]), float(lang.predict(one(t))[1][0])) for d, t in some}
+    for parts in (1, 7):
+        rows = frame(some, parts)
+        found = [{r.doc_id: r.score for r in scored.collect()} for scored in (toxicity.score(rows, tox), quality.score(rows, good), language.predict(rows, lang))]
+        for d, t in some:
+            assert found[0][d] == pytest.approx(want[d][0], abs=1e-6) and found[1][d] == pytest.approx(want[d][1], abs=1e-6)
+            assert found[2][d] == pytest.approx(want[d][2] if any(c.isalpha() for c in t or "") else 0, abs=1e-5)
+
+
+def test_samples_are_bounded_by_rows_not_ids(spark):
+    rows = [(1, f"text {i}", "en") for i in range(300)] + [(i, "other", f"l{i}") for i in range(2, 300)] + [(None, "none", "en"), (5, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = labels_of(spark, [(i, 1, 0) for i in range(1, 300)] + [(1, 0, 0), (None, 1, 1)])
+    got = samples.labelled(docs, marks, "quality", 40).collect()
+    assert 0 < len(got) <= 40
+    every = samples.labelled(docs, marks, "quality", 10_000).collect()
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(1, 300)) and len([r for r in every if r.text.startswith("text")]) <= 1
+    model = language.fit(docs, languages=20, sample=50)
+    assert 0 < len(set(model.languages)) <= 20
+
+
 EDGES = [(1, None), (2, ""), (3, "?!. \n"), (4, "vilefool"), (5, "x" * 300_000), (5, "x" * 300_000), (6, "a. " * 30_000), (None, "b")]
 
 
