@@ -49,15 +49,18 @@ def counts(docs: DataFrame) -> DataFrame:
     kept = {k: F.length(F.regexp_replace("text", p, "")) for k, p in CLASSES.items()}
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select("doc_id", "lang", F.filter(F.split("text", SPACES), lambda x: x != "").alias("w"), lines.alias("lines"), F.length("text").alias("all"), F.length(F.regexp_replace("text", SPACES, "")).alias("word_chars"), *(v.alias(k) for k, v in kept.items()))
-    n = F.size("w")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-    # Each word's place in the list as a letter (a blank for none): a word costs one look-up, a list entry
-    # one pass over a short string.
-    letter = lambda x: F.substring(F.lit(" " + LETTERS), F.find_in_set(x, F.lit(",".join(COMMON))) + 1, F.lit(1))
-    rows = rows.select("doc_id", "lang", n.alias("n_words"), "word_chars", "all", *CLASSES, (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), starts.alias("starts"), F.array_join(F.transform("w", letter), "").alias("codes"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    # Each common word's place in the list as a letter: a word costs one look-up, a list entry one pass
+    # over a short string.
+    letter = lambda x: F.substring(F.lit(LETTERS), F.find_in_set(x, F.lit(",".join(COMMON))), F.lit(1))
+    codes = F.array_join(F.transform(F.filter("w", lambda x: x.isin(*COMMON)), letter), "")
+    rows = rows.select("doc_id", "lang", F.size("w").alias("n_words"), "word_chars", "all", *CLASSES, (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), codes.alias("codes"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    # Hashes of two words, of four, of eight; those beyond the end are left out at last.
+    for k in (1, 2, 4):
+        rows = rows.withColumn("w", _joined("w", k))
     n = F.col("n_words")
-    common = [n - F.length(F.replace("codes", F.lit(c), F.lit(""))) for c in LETTERS]
-    rows = rows.select("doc_id", "lang", "n_words", "word_chars", "all", *CLASSES, "n_dup_lines", F.array(*common).alias("known"), F.transform("starts", lambda i: F.xxhash64(F.slice("w", i, WINDOW))).alias("win"))
+    common = [F.length("codes") - F.length(F.replace("codes", F.lit(c), F.lit(""))) for c in LETTERS]
+    windows = F.when(n >= WINDOW, F.slice("w", F.lit(1), n - (WINDOW - 1))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    rows = rows.select("doc_id", "lang", "n_words", "word_chars", "all", *CLASSES, "n_dup_lines", F.array(*common).alias("known"), windows.alias("win"))
     # Only texts with a repeated window are sorted.
     pairs = F.array_sort(F.transform("win", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     rows = rows.withColumn("s", F.when(F.size(F.array_distinct("win")) < F.size("win"), pairs)).drop("win")
@@ -75,6 +78,11 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.select("*", _share("chars").alias("chars_share"), _share("common").alias("common_share"))
 
 
+def _joined(column: str, k: int) -> Column:
+    """Each hash of a list with the one k places on."""
+    return F.transform(column, lambda x, i: F.xxhash64(x, F.get(column, i + k)))
+
+
 def _share(column: str) -> Column:
     """A count array as shares; null if all are zero."""
     total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
