@@ -3,9 +3,10 @@
 Every benchmark item gives windows of ``size`` consecutive words (an item with fewer words,
 but not none, is one window). A window is contained where a document has its words in a row.
 
-Method. Words are ordered by rarity: their number of occurrences over all documents, ties by
-hash. For containment of a whole window the necessary prefix is its one rarest word, so only
-that word is looked up among the document's words. A hit at position p with the word at
+Method. A window is a set of shingles of ``shingle`` words (of all its words if it has fewer).
+Shingles are ordered by rarity: their number of occurrences over all documents, ties by hash. For
+containment of a whole window the necessary prefix is its one rarest shingle, so only that one
+is looked up among the document's shingles. A hit at position p with the shingle at
 offset o of the window gives the one place p - o where the window can start (positional
 bound); the place must lie in the document with its full length (length bound). What is left
 is verified first by hash, then word by word on the bytes.
@@ -41,19 +42,24 @@ SCHEMA = "doc_id long, sha string, n_words long, hit_spans array<struct<start:lo
 COLUMNS = ["doc_id", "n_words", "hit_spans", "item_ids"]
 
 
-def _member(sorted_keys: np.ndarray, filt: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in h that are in sorted_keys, and their places there; a bit table rules out most."""
-    at = np.flatnonzero(filt[(h >> np.uint64(44)).astype(np.int64)])
-    k = np.searchsorted(sorted_keys, h[at])
-    k[k == len(sorted_keys)] = 0
-    ok = sorted_keys[k] == h[at]
-    return at[ok], k[ok]
+class Keys:
+    """Sorted hashes with a bit table in front that rules out most others."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.sorted = np.unique(hashes)
+        self.shift = np.uint64(64 - max(20, min(26, int(16 * len(self.sorted)).bit_length())))
+        self.filt = np.zeros(1 << int(64 - self.shift), bool)
+        self.filt[(self.sorted >> self.shift).astype(np.int64)] = True
 
-def _filter(keys: np.ndarray) -> np.ndarray:
-    filt = np.zeros(1 << 20, bool)
-    filt[(keys >> np.uint64(44)).astype(np.int64)] = True
-    return filt
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h of hashes that are there, and their places in ``sorted``."""
+        if not len(self.sorted):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.filt[(h >> self.shift).astype(np.int64)])
+        k = np.searchsorted(self.sorted, h[at])
+        k[k == len(self.sorted)] = 0
+        ok = self.sorted[k] == h[at]
+        return at[ok], k[ok]
 
 
 def item_windows(ident: object, text: str, size: int) -> Iterator[tuple[tuple[bytes, ...], str, dict[bytes, int]]]:
@@ -82,55 +88,81 @@ def window_blocks(items: Iterator[tuple[object, str]], size: int, most: int) ->
         yield block, known
 
 
-def word_counts(docs: DataFrame, words: dict[bytes, int], text_col: str) -> dict[int, int]:
-    """Occurrences over all documents of the given words (as hashes): what orders them by rarity."""
-    keys = np.unique(np.fromiter(words.values(), np.uint64, len(words)))
-    filt = _filter(keys)
+class Shingled:
+    """The shingles of a benchmark block's windows, by number of words (fewer than ``shingle`` in short windows only)."""
+
+    def __init__(self, windows: dict[tuple[bytes, ...], set], known: dict[bytes, int], shingle: int):
+        self.windows = [(w, sorted(ids)) for w, ids in sorted(windows.items())]
+        self.size = np.array([len(w) for w, _ in self.windows], np.int64)
+        first = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        words = np.array([known[x] for w, _ in self.windows for x in w], np.uint64)
+        of = np.repeat(np.arange(len(self.size)), self.size)
+        offset = np.arange(len(words)) - first[of]
+        #: Of each number of words: hash, window and offset of every shingle.
+        self.shingles: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.key = np.zeros(len(self.size), np.uint64)
+        for n in np.unique(self.size).tolist():
+            self.key[self.size == n] = HASH.runs(words, n, first[:-1][self.size == n])
+        wide = np.minimum(self.size, shingle)
+        for k in np.unique(wide).tolist():
+            at = np.flatnonzero((wide[of] == k) & (offset + k <= self.size[of]))
+            self.shingles[k] = HASH.runs(words, k, at), of[at], offset[at]
+
+
+def shingle_counts(docs: DataFrame, block: Shingled, text_col: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(hashes ascending, occurrences over all documents) of the block's shingles, by number of words: what orders them by rarity."""
+    keys = {k: Keys(h) for k, (h, _, _) in block.shingles.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(keys), np.int64)
+        n = {k: np.zeros(len(x.sorted), np.int64) for k, x in keys.items()}
         for part in chunks(batches):
             w = words_of(part.column("text"), lower=True, gap=NONWORD)
-            n += np.bincount(_member(keys, filt, HASH.ranges(w.data, w.starts, w.ends))[1], minlength=len(keys))
-        got = np.flatnonzero(n)
-        yield pa.record_batch({"k": keys[got].view(np.int64), "n": n[got]})
-
-    if not len(keys):
-        return {}
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
-    return {r.k % (1 << 64): r.n for r in rows}
+            h = HASH.ranges(w.data, w.starts, w.ends)
+            for k, x in keys.items():
+                n[k] += np.bincount(x.places(HASH.runs(h, k, w.windows(k)))[1], minlength=len(x.sorted))
+        for k, x in keys.items():
+            got = np.flatnonzero(n[k])
+            yield pa.record_batch({"w": np.full(len(got), k, np.int32), "k": x.sorted[got].view(np.int64), "n": n[k][got]})
+
+    out = {k: (x.sorted, np.zeros(len(x.sorted), np.int64)) for k, x in keys.items()}
+    if out:
+        # At most as many rows as a block has shingles.
+        for r in docs.select(F.col(text_col).alias("text")).mapInArrow(count, "w int, k long, n long").groupBy("w", "k").agg(F.sum("n").alias("n")).collect():
+            hashes, n = out[r.w]
+            n[np.searchsorted(hashes, np.uint64(r.k % (1 << 64)))] = r.n
+    return out
 
 
 class Matcher:
     """Finds the windows of one benchmark block in batches of documents."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], set], known: dict[bytes, int], counts: dict[int, int]):
-        self.windows = [(w, sorted(ids)) for w, ids in sorted(windows.items())]
-        by_prefix = defaultdict(list)
-        for i, (w, _) in enumerate(self.windows):
-            o = min(range(len(w)), key=lambda j: (counts.get(known[w[j]], 0), known[w[j]], j))
-            by_prefix[known[w[o]]].append((i, o))
-        self.keys = np.array(sorted(by_prefix), np.uint64)
-        self.filt = _filter(self.keys)
-        flat = [x for k in sorted(by_prefix) for x in by_prefix[k]]
-        self.first = np.concatenate([[0], np.cumsum([len(by_prefix[k]) for k in sorted(by_prefix)])]).astype(np.int64)
-        self.which, self.offset = (np.array([x[j] for x in flat], np.int64) for j in (0, 1))
-        self.size = np.array([len(w) for w, _ in self.windows], np.int64)
-        self.key = np.zeros(len(self.windows), np.uint64)
-        for i, (w, _) in enumerate(self.windows):
-            self.key[i] = HASH.runs(np.array([known[x] for x in w], np.uint64), len(w), np.zeros(1, np.int64))[0]
+    def __init__(self, block: Shingled, counts: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.windows, self.size, self.key = block.windows, block.size, block.key
+        #: By number of words: the prefixes, where each one's windows begin, and the windows with the prefix's offset.
+        self.prefixes: dict[int, tuple[Keys, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k, (h, of, offset) in block.shingles.items():
+            hashes, n = counts[k]
+            order = np.lexsort((offset, h, n[np.searchsorted(hashes, h)], of))
+            rarest = order[np.concatenate([[True], of[order][1:] != of[order][:-1]])]
+            rarest = rarest[np.argsort(h[rarest], kind="stable")]
+            keys = Keys(h[rarest])
+            self.prefixes[k] = keys, np.searchsorted(h[rarest], keys.sorted), of[rarest], offset[rarest]
+
+    def _candidates(self, w, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(word at which a prefix stands, word at which its window would start, window)."""
+        for k, (keys, first, which, offset) in self.prefixes.items():
+            at = w.windows(k)
+            place, key = keys.places(HASH.runs(h, k, at))
+            many = np.append(first, len(which))[key + 1] - first[key]
+            flat = np.arange(many.sum()) + np.repeat(first[key] - np.cumsum(many) + many, many)
+            yield np.repeat(at[place], many), np.repeat(at[place], many) - offset[flat], which[flat]
 
     def __call__(self, w) -> list[tuple[int, int, int, int]]:
         """(document, first word, end word, window) of each verified occurrence; words count from the batch's first."""
-        if not len(self.keys) or not len(w.starts):
+        if not len(self.size) or not len(w.starts):
             return []
         h = HASH.ranges(w.data, w.starts, w.ends)
-        at, k = _member(self.keys, self.filt, h)
-        many = self.first[k + 1] - self.first[k]
-        pos = np.repeat(at, many)
-        flat = np.arange(len(pos)) + np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-        which = self.which[flat]
-        start = pos - self.offset[flat]
+        pos, start, which = (np.concatenate(x) for x in zip(*self._candidates(w, h), strict=True))
         doc = np.searchsorted(w.bounds, pos, "right") - 1
         ok = (start >= w.bounds[doc]) & (start + self.size[which] <= w.bounds[doc + 1])
         start, which, doc = start[ok], which[ok], doc[ok]
@@ -171,9 +203,9 @@ def _one_block(docs: DataFrame, find: Matcher) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000, shingle: int = 3) -> DataFrame:
     """Per document: doc_id, n_words, hit_spans (word ranges inside windows, merged), item_ids (sorted as strings)."""
-    first, later = _passes(docs, benchmark, size, id_col, text_col, item_col, item_text_col, block_windows)
+    first, later = _passes(docs, benchmark, size, id_col, text_col, item_col, item_text_col, block_windows, shingle)
     if not later:
         return first.select(*COLUMNS)
     # Only rows with hits were written. Exact copies of a row have the same hits: one of them is enough.
@@ -186,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     return rows.select("doc_id", "n_words", F.coalesce("hit_spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")).alias("hit_spans"), F.coalesce("i", empty).alias("item_ids"))
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000) -> tuple[DataFrame, list[DataFrame]]:
+def _passes(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = 200_000, shingle: int = 3) -> tuple[DataFrame, list[DataFrame]]:
     """(all rows with a hash of their text and their hits by the last block; with more than one block, each block's rows with hits)."""
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha"))
@@ -195,7 +227,8 @@ def _passes(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str = "doc
     written: list[DataFrame] = []
     block, after = next(blocks), next(blocks, None)
     while True:
-        found = _one_block(docs, Matcher(*block, word_counts(docs, block[1], "text")))
+        shingled = Shingled(*block, shingle)
+        found = _one_block(docs, Matcher(shingled, shingle_counts(docs, shingled, "text")))
         if after is not None or written:
             written.append(materialize(found.where("size(item_ids) > 0").select("doc_id", "sha", "hit_spans", "item_ids"), "benchmark-hits"))
         if after is None:

@@ -126,13 +126,13 @@ def test_repeated_rows_without_a_smaller_copy_stay_once(spark):
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog and more words"), (2, "short item"), (3, "word"), (4, None), (5, " ,. "), (None, "quick brown"), (6, "ÉTÉ été x9 ÿ"), (2, "another text of item two")]
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_contamination_equals_brute_force(spark, frame, block):
+@pytest.mark.parametrize(("block", "shingle"), [(200_000, 3), (3, 3), (200_000, 1), (200_000, 20)])
+def test_contamination_equals_brute_force(spark, frame, block, shingle):
     rng = random.Random(2)
     pieces = [t for _, t in ITEMS if t] + ["the QUICK brown fox jumps over the lazy dog and", "Short-item!", "filler text here", "ÉTé été X9 ÿ", "été été x9 ÿ"]
     rows = [(i, " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(90, None), (91, ""), (92, "word" * 3), (93, "x " * 9000 + "short item")]
     items = spark.createDataFrame([(i, t, "e") for i, t in ITEMS], "item_id long, text string, n_words string")
-    got = rows_of(decontaminate.digest(decontaminate.contamination(frame(rows), items, block_windows=block)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = rows_of(decontaminate.digest(decontaminate.contamination(frame(rows), items, block_windows=block, shingle=shingle)), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == brute.contamination(rows, [x for x in ITEMS if x[0] is not None])
 
 
