@@ -89,14 +89,24 @@ def _bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("y"), pa.array(ids, pa.binary()), pa.array(freq, pa.binary())], ["y", "i", "f"])
 
 
+def _views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """Arrays over a binary column's own memory."""
+    out = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        raw = memoryview(data) if data is not None else b""
+        out += [np.frombuffer(raw[a:b], kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, dim: int = 8, epochs: int = 12, batch: int = 32, rate: float = 2.0) -> Model:
     """Fits vectors and output layer on a bounded sample; see the module's text."""
     got = labelled(docs, labels, "quality", sample).mapInArrow(_bag, "y int, i binary, f binary").toArrow()
     y = got.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    ids = [np.frombuffer(x, np.uint16).astype(np.int64) for x in got.column("i").to_pylist()]
-    freq = [np.frombuffer(x, np.float32) for x in got.column("f").to_pylist()]
+    ids, freq = _views(got.column("i"), np.uint16), _views(got.column("f"), np.float32)
     rng = np.random.default_rng(5)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32).T.copy()  # a row for each dimension
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -105,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, dim: int = 8, e
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
             pick = order[at : at + batch]
-            idx = np.concatenate([ids[i] for i in pick])
+            idx = np.concatenate([ids[i] for i in pick]).astype(np.int64)
             wgt = np.concatenate([freq[i] for i in pick])
             bounds = np.concatenate([[0], np.cumsum([len(ids[i]) for i in pick])])
             mean = np.stack([_sums(table[d][idx] * wgt, bounds[:-1], bounds[1:]) for d in range(dim)], 1).astype(np.float32)
@@ -121,6 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 5_000, dim: int = 8, e
             for d in range(dim):
                 table[d] -= lr * np.bincount(idx, np.repeat(down[:, d], width) * wgt, 1 << BITS).astype(np.float32)
             done += 1
+    del got, ids, freq
+    pa.default_memory_pool().release_unused()  # the sample is the driver's largest table
     return Model(((out[:, 1] - out[:, 0]) @ table).astype(np.float64), float(bias[1] - bias[0]))
 
 
