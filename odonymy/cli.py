@@ -95,6 +95,8 @@ def run_join(spark: SparkSession, args: argparse.Namespace, say: Reporter) -> No
     store = Store(spark, args.database)
     header = store.header()
     say.debug(f"join: {args.steps} buckets, {len(store.parts(f'streets_parts/of={args.steps}'))} of them done before")
+    for way in streets.unmeasurable(store.read("ways")).select("way_id").toLocalIterator():
+        say.warn(f"way {way.way_id}: no distances, as a vertex is not a place; it joins by shared nodes only")
     made = join_in_buckets(store, args.threshold, buckets=args.steps)
     sinks.print_groups(streets.top_groups(store.read("street_groups"), 10).collect(), sys.stdout)
     say.set_counts(parsed=header["parsed"], groups=header["groups"], streets=made)

@@ -61,14 +61,19 @@ def middle(coords: Column) -> Column:
     return F.get(coords, F.floor(F.size(coords) / 2).cast("int"))
 
 
+def finite(coords: Column) -> Column:
+    """Whether all vertices have coordinates that are numbers."""
+    return ~F.exists(coords, lambda c: F.isnan(c["lon"]) | F.isnan(c["lat"]) | (F.abs(c["lon"]) == float("inf")) | (F.abs(c["lat"]) == float("inf")) | c["lon"].isNull() | c["lat"].isNull())
+
+
 def metric(coords: Column, projection: Identity | TransverseMercator) -> Column:
-    """Vertices as (node_id, x, y); null with fewer than two."""
+    """Vertices as (node_id, x, y); null with fewer than two, or if one cannot be measured."""
 
     def one(c: Column) -> Column:
         x, y = projection.xy(c["lon"], c["lat"])
         return F.struct(c["node_id"].alias("node_id"), x.alias("x"), y.alias("y"))
 
-    return F.when(F.size(coords) >= 2, F.transform(coords, one))
+    return F.when((F.size(coords) >= 2) & finite(coords), F.transform(coords, one))
 
 
 def segment_list(line: Column) -> Column:

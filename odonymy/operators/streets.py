@@ -72,6 +72,11 @@ def way_gaps(ways: DataFrame, radius: float, projection: Projection) -> DataFram
     return pairs.groupBy("norm_name", F.col("s.way_id").alias("a"), F.col("t.way_id").alias("b")).agg(F.min(geo.distance2("s", "t")).alias("d2"))
 
 
+def unmeasurable(ways: DataFrame) -> DataFrame:
+    """Ways with a vertex that no distance can be measured from: they join by shared nodes only."""
+    return ways.where((F.size("coords") >= 2) & ~geo.finite(F.col("coords")))
+
+
 def distance_edges(ways: DataFrame, threshold: float, projection: Projection) -> DataFrame:
     """Heuristic join: pairs of ways of one group at most ``threshold`` apart."""
     return way_gaps(ways, threshold, projection).where(F.sqrt("d2") <= threshold).select("a", "b")
@@ -143,7 +148,7 @@ def near_misses(ways: DataFrame, threshold: float, projection: Projection | None
     projection = projection or geo.TransverseMercator()
     # Distances once, out to twice the threshold; those within it are what joins ways.
     gaps = materialize(way_gaps(ways, 2 * threshold, projection), "way-gaps")
-    labelled = _labelled(ways, gaps.where(F.sqrt("d2") <= threshold).select("a", "b")).select("way_id", "component", (F.size("coords") >= 2).alias("measured"))
+    labelled = _labelled(ways, gaps.where(F.sqrt("d2") <= threshold).select("a", "b")).select("way_id", "component", ((F.size("coords") >= 2) & geo.finite(F.col("coords"))).alias("measured"))
     ids = labelled.where("measured").groupBy("component").agg(F.min("way_id").alias("street_id"))
     street = materialize(labelled.where("measured").join(ids, "component").select("way_id", "street_id"), "way-streets")
     of = lambda side: street.select(F.col("way_id").alias(side), F.col("street_id").alias(f"street_{side}"))

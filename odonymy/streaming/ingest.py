@@ -20,7 +20,9 @@ RAW = "way_id long, name string, node_ids array<long>, coords array<struct<node_
 
 
 def upsert(store: Store, batch: DataFrame, key: str = "way_id", order: Column | None = None) -> None:
-    """Rows of the batch replace those of the same id; of several in the batch the last by ``order`` holds (without one: the greatest by content)."""
+    """Rows of the batch replace those of the same id; of several in the batch the last by ``order`` holds (without one: the greatest by content). A null name is an error."""
+    if not batch.where("name is null").isEmpty():
+        raise ValueError("a way without a name cannot be stored")
     content = F.struct(*(c for c in store.read("ways").columns if c != key))
     last = F.max(content) if order is None else F.max(F.struct(order.alias("o"), content.alias("r")))["r"]
     one = batch.groupBy(key).agg(last.alias("r")).select(key, "r.*")

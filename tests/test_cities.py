@@ -1,7 +1,7 @@
 import pytest
 from test_points_stats import box
 
-from odonymy import sinks
+from odonymy import paths, sinks
 from odonymy.functions.geo import POLYGONS
 from odonymy.operators import cities
 
@@ -92,4 +92,5 @@ def test_drawing(spark, two, tmp_path):
     from odonymy.functions.geo import Identity
 
     path, n = sinks.draw_cities(cities.flagged(two, spots(spark, (5, 5))), tmp_path / "m.png", "roma", Identity())
-    assert n == 2 and path.read_text().count("<path") == 2 + 1 and "#d7301f" in path.read_text()
+    drawn = paths.read_text(path)
+    assert path.endswith("m.svg") and n == 2 and drawn.count("<path") == 2 + 1 and "#d7301f" in drawn

@@ -101,6 +101,13 @@ def test_last_row_of_an_id_wins(store, spark, tmp_path):
     assert [r.name for r in store.read("ways").collect()] == ["Via M"] and store.meta("parsed_count") == 3
 
 
+def test_a_way_without_a_name_is_an_error(store, spark):
+    rows = spark.createDataFrame([way(1, None, 1, 2)], ingest.RAW).selectExpr("*", "'x' AS norm_name")
+    with pytest.raises(ValueError, match="without a name"):
+        ingest.upsert(store, rows)
+    assert store.read("ways").count() == 0
+
+
 def test_views(store, spark):
     store.register_views()
     assert spark.sql("SELECT count(*) FROM street_groups").first()[0] == 0

@@ -113,3 +113,11 @@ def test_band_is_closed_below_and_open_above(ways):
     w = ways([(1, "Via B", [1, 2], [(0, 0), (10, 0)]), (2, "Via B", [3, 4], [(0, 100), (10, 100)]), (3, "Via B", [5, 6], [(0, 299.5), (10, 299.5)]), (4, "Via B", [7, 8], [(0, 500), (10, 500)])])
     got = streets.near_misses(w, 100.0, Identity()).collect()
     assert [(r.street_id_a, r.street_id_b, r.distance_m) for r in got] == [(1, 3, 199.5)]
+
+
+def test_ways_that_cannot_be_measured_join_by_nodes_only(ways):
+    nan, inf = float("nan"), float("inf")
+    w = ways([(1, "Via B", [1, 2], [(0, 0), (10, 0)]), (2, "Via B", [2, 3], [(nan, 0), (10, 1)]), (3, "Via B", [4, 5], [(0, 1), (inf, 1)]), (4, "Via B", [6, 7], [(0, 2), (10, 2)])])
+    assert sorted(r.way_id for r in streets.unmeasurable(w).collect()) == [2, 3]
+    assert {r.way_id: r.component for r in streets.components(w, 5.0, Identity()).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert streets.near_misses(w, 1.5, Identity()).select("street_id_a", "street_id_b").collect() == [(1, 4)]
