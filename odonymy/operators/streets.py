@@ -6,7 +6,7 @@ exist per norm_name only; two ways of different norm_name never join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from odonymy.functions import geo
@@ -172,7 +172,10 @@ def _gap_nodes(best: DataFrame, ways: DataFrame, projection: Projection) -> Data
         named = named.join(lines.select(F.col("way_id").alias(f"way_id_{side}"), F.col("line").alias(f"line_{side}")), f"way_id_{side}")
     rows = named.select("way_id_a", "way_id_b", "line_a", "line_b", F.explode(geo.segment_list(F.col("line_a"))).alias("s"))
     rows = rows.select("way_id_a", "way_id_b", "line_a", "line_b", geo.directed(F.col("s")).alias("s"), F.explode(geo.segment_list(F.col("line_b"))).alias("t")).withColumn("t", geo.directed(F.col("t")))
-    rows = rows.select("way_id_a", "way_id_b", "line_a", "line_b", F.struct(F.round(geo.distance2("s", "t"), 6).alias("d2"), geo.nearest("s", "t").alias("at")).alias("g"))
+    # Points are worked out where the distance is least, as a rule one of a pair's segment pairs.
+    rows = rows.withColumn("d2", F.round(geo.distance2("s", "t"), 6))
+    rows = rows.withColumn("least", F.min("d2").over(Window.partitionBy("way_id_a", "way_id_b"))).where("d2 = least")
+    rows = rows.select("way_id_a", "way_id_b", "line_a", "line_b", F.struct("d2", geo.nearest("s", "t").alias("at")).alias("g"))
     found = rows.groupBy("way_id_a", "way_id_b").agg(F.min("g").alias("g"), F.first("line_a").alias("line_a"), F.first("line_b").alias("line_b"))
 
     def next_to(line: str, x: str, y: str):
