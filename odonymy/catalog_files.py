@@ -180,7 +180,7 @@ reach(a, b) AS (SELECT way_id, way_id FROM l UNION SELECT r.a, e.b FROM reach r
 SELECT a AS way_id, min(b) AS component FROM reach GROUP BY a""")
 def mixed_streets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways joined by shared nodes and by distance together."""
-    lines = o.lines(spark, sf_dir).withColumn("node_ids", F.array(F.floor(F.col("way_id") / 128).cast("long")))
+    lines = c._stored_lines(spark, sf_dir).withColumn("node_ids", F.array(F.floor(F.col("way_id") / 128).cast("long")))
     return streets.components(lines, c.THRESHOLD, geo.Identity()).select("way_id", "component")
 
 

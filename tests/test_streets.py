@@ -206,3 +206,11 @@ def test_null_names_never_meet_on_the_raster(spark):
     rows = [(i, None, None, [i], [{"node_id": i, "lon": 0.0, "lat": 0.0}, {"node_id": i + 10, "lon": 5.0, "lat": float(i)}]) for i in (1, 2)]
     w = spark.createDataFrame(rows, "way_id long, name string, norm_name string, node_ids array<long>, coords array<struct<node_id:long,lon:double,lat:double>>")
     assert {r.way_id: r.component for r in streets.components(w, 50.0, Identity()).collect()} == {1: 1, 2: 2}
+
+
+def test_streets_of_a_dense_place_are_joined_without_listing_its_pairs(ways, monkeypatch):
+    from odonymy.plans import graph
+
+    edges = written(monkeypatch, graph, "edges")
+    assert classes(streets.components(ways(in_one_place(120)), 100.0, Identity())) == [list(range(1, 121)), [121]]
+    assert max(edges) <= 120  # not 120 * 119 / 2
