@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from odonymy import catalog
 from odonymy.functions.geo import Identity
 from odonymy.operators import streets
 from odonymy.plans.graph import connected_components
@@ -151,6 +152,20 @@ def test_near_misses_of_a_dense_place_list_no_pairs_within_a_street(ways, monkey
     assert len(gaps) == 1 and gaps[0] <= 120  # of 120 * 119 / 2 pairs within the street, none
 
 
+@pytest.mark.parametrize("name", ["near_miss_details"])
+def test_reports_of_a_dense_place_list_no_pairs_within_a_street(compare, spark, tmp_path, monkeypatch, name):
+    here = [199 * 211 * 100 * k for k in range(1, 121)]  # one place, one group
+    near = next(o for o in range(100, 10**8, 100) if o * 7919 % 199 == 4 and o * 104729 % 211 == 0)
+    far = next(o for o in range(100, 10**8, 100) if o * 7919 % 199 == 100 and o * 104729 % 211 == 100)
+    orders = [*here, near, far]
+    spark.createDataFrame([(o, 100) for o in orders], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = [(o, 2 * (i % 3) + 202 * k, k) for i, o in enumerate(orders) for k in range(2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    gaps = written(monkeypatch, streets, "way-gaps")
+    compare(catalog.QUERIES[name], catalog.ORACLES[name], str(tmp_path))
+    assert len(gaps) == 1 and 0 < gaps[0] <= 120  # of 120 * 119 / 2 pairs within the street, none
+
+
 def test_near_misses_equal_brute_force_on_odd_rows(spark, ways):
     rng = random.Random(11)
     rows = []
