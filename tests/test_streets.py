@@ -152,7 +152,7 @@ def test_near_misses_of_a_dense_place_list_no_pairs_within_a_street(ways, monkey
     assert len(gaps) == 1 and gaps[0] <= 120  # of 120 * 119 / 2 pairs within the street, none
 
 
-@pytest.mark.parametrize("name", ["near_miss_details"])
+@pytest.mark.parametrize("name", ["near_miss_details", "pair_lines"])
 def test_reports_of_a_dense_place_list_no_pairs_within_a_street(compare, spark, tmp_path, monkeypatch, name):
     here = [199 * 211 * 100 * k for k in range(1, 121)]  # one place, one group
     near = next(o for o in range(100, 10**8, 100) if o * 7919 % 199 == 4 and o * 104729 % 211 == 0)
