@@ -62,12 +62,8 @@ def compress(ids: np.ndarray, min_count: int = 8, share: int = 16) -> tuple[np.n
             part, wide = rank[seq], len(back)
             kind = np.uint32 if wide < 1 << 16 else np.uint64
         pair = part[:-1] * kind(wide) + part[1:].astype(kind, copy=False)
-        ordered = np.sort(pair)
-        head = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
-        count, every = np.diff(np.append(head, len(ordered))), ordered[head]
-        if back[0] < 0:
-            count[(every < wide) | (every % kind(wide) == 0)] = 0
-        if count.max() < min_count:
+        count, every = _frequent(pair if back[0] >= 0 else pair[(part[:-1] > 0) & (part[1:] > 0)], min_count, share)
+        if not len(count):
             break
         chosen = every[count >= max(min_count, int(count.max()) // share)]
         at, rule, chosen = _places(pair, chosen)
@@ -75,7 +71,8 @@ def compress(ids: np.ndarray, min_count: int = 8, share: int = 16) -> tuple[np.n
         first = np.ones(len(at), bool)
         first[1:] = at[1:] != at[:-1] + 1
         chain = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-        at, rule = at[chain % 2 == 0], rule[chain % 2 == 0]
+        odd = (chain & 1) == 0
+        at, rule = at[odd], rule[odd]
         two = np.stack([back[chosen // kind(wide)], back[chosen % kind(wide)]], 1)
         seq[at] = rule + len(freq)
         left = np.ones(len(seq), bool)
@@ -89,6 +86,23 @@ def compress(ids: np.ndarray, min_count: int = 8, share: int = 16) -> tuple[np.n
     return symbol[seq], symbol[np.concatenate(rules)] if rules else np.zeros((0, 2), np.int32), base
 
 
+def _frequent(pair: np.ndarray, min_count: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, pairs) of all pairs that occur ``min_count`` times and a ``share``-th as often as the most frequent one, and of some rarer ones.
+
+    A pair that fills r places in a row of every 64th of the sorted pairs occurs more than 64 * (r - 1) times; that
+    bounds the count from below that matters, and only pairs equal to the one so many places on are looked at.
+    """
+    ordered = np.sort(pair)
+    some = ordered[::64]
+    ends = np.flatnonzero(np.append(some[1:] != some[:-1], True)) if len(some) else np.zeros(1, np.int64)
+    least = max(min_count, 64 * (int(np.diff(ends, prepend=-1).max()) - 1) // share)
+    n = max(0, len(ordered) - least + 1)
+    near = np.flatnonzero(ordered[least - 1 : least - 1 + n] == ordered[:n])
+    found = ordered[near]
+    head = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+    return np.diff(head, append=len(found)) + least - 1, found[head]
+
+
 def _places(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places of chosen pairs, number of each one's pair, the chosen pairs).
 
@@ -96,17 +110,20 @@ def _places(pair: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """
     kind, bits = pair.dtype.type, 8 * pair.itemsize
     slot = lambda x: (x * kind(0x9E3779B97F4A7C15 >> (64 - bits) | 1)) >> kind(bits - TABLE_BITS)
-    table, number = np.zeros(1 << TABLE_BITS, kind), np.full(1 << TABLE_BITS, -1, np.int32)
+    # A byte for each place stays in the cache; the tables are looked at where it is set only.
+    table, number, taken = np.empty(1 << TABLE_BITS, kind), np.empty(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, bool)
     table[slot(chosen)] = chosen
     chosen = chosen[table[slot(chosen)] == chosen]
     number[slot(chosen)] = np.arange(len(chosen))
+    taken[slot(chosen)] = True
     found = []
     for start in range(0, len(pair), CHUNK):  # small pieces stay in the cache
         some = pair[start : start + CHUNK]
-        place = slot(some)
-        hit = np.flatnonzero(table[place] == some)
-        rule = number[place[hit]]
-        found.append((hit[rule >= 0] + start, rule[rule >= 0]))
+        place = slot(some).astype(np.intp)
+        hit = np.flatnonzero(taken.take(place, mode="clip"))
+        place = place[hit]
+        same = table[place] == some[hit]
+        found.append((hit[same] + start, number[place[same]]))
     at, rule = (np.concatenate([f[j] for f in found]) for j in (0, 1))
     return at, rule, chosen
 

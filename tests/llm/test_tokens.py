@@ -31,6 +31,23 @@ def test_encoder_equals_tokenizer(name, limit):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == [*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_every_character_below_the_rare_ones(name):
+    encode = Encoder(public_path(name))
+    texts = [t for c in map(chr, range(0x132)) for t in (c, c + c, f" {c}", f"a{c}b {c}É", f"1{c} x{c}", f"({c}) {c} é{c}")]
+    ids, bounds = encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == [*encode.tokenizer.encode(t, add_special_tokens=False).ids, 0], t
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_only_odd_units_are_looked_at_one_by_one(name, monkeypatch):
+    seen, inner = [], Encoder._ids
+    monkeypatch.setattr(Encoder, "_ids", lambda self, texts: seen.extend(texts) or inner(self, texts))
+    Encoder(public_path(name))(["Plain words, größer und élégant.\nIt's ..."])
+    assert seen and not {"Plain", " words", ",", " größer", " und", " élégant"} & set(seen)
+
+
 def test_best_fit_and_search_keep_all_pieces():
     rng = random.Random(9)
     for room, sizes in ((10, [rng.randint(1, 10) for _ in range(200)]), (100, [rng.randint(20, 60) for _ in range(300)]), (10, []), (10, [10] * 3), (2048, [rng.randint(1, 2047) for _ in range(900)])):
@@ -151,6 +168,17 @@ def test_grammar_ends_only_when_no_pair_is_frequent():
     assert pairs.max() < 8 and len(symbols) < len(ids) * 0.7 and rules.max() < base + len(rules)
 
 
+def test_frequent_pairs_are_counted_whole():
+    rng = np.random.default_rng(8)
+    for pairs in (np.zeros(0, np.uint32), np.full(9, 3, np.uint32), rng.integers(0, 40, 300).astype(np.uint32), (rng.zipf(1.2, 40_000) % 5000).astype(np.uint64), np.repeat(np.arange(50, dtype=np.uint32), rng.integers(1, 500, 50))):
+        for min_count, share in ((8, 16), (2, 3), (1, 1)):
+            every, n = np.unique(rng.permutation(pairs), return_counts=True)
+            want = n >= max(min_count, n.max(initial=0) // share)
+            count, found = repair_codec._frequent(pairs, min_count, share)
+            kept = count >= max(min_count, count.max(initial=0) // share)
+            assert found[kept].tolist() == every[want].tolist() and count[kept].tolist() == n[want].tolist()
+
+
 def check_file(rows, encode, docs):
     at = 0
     for (d, t), r in zip(sorted(docs), sorted(rows, key=lambda r: r.doc_id), strict=True):
