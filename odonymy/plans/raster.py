@@ -118,7 +118,7 @@ class Contracted:
         """Ways that another part may come within the radius of, as (norm_name, way_id, coords, part); None if there are none.
 
         A block is wider than the radius and a way's distance from its samples: what is near a point
-        of a block is in it or in one of its eight neighbours.
+        of a block is in it or in one of its eight neighbours. To be called once: the cells are deleted.
         """
         if self.cells is None:
             return self.ways.select("norm_name", "way_id", "coords").join(self.parts, "way_id")
@@ -131,6 +131,7 @@ class Contracted:
             here = here.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
         mixed = here.groupBy("norm_name", "bx", "by").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("norm_name", "bx", "by")
         mixed = materialize(mixed, "mixed-blocks")
+        discard(self.cells)
         if mixed.isEmpty():
             return None
         near = self._blocks(_lines(self.ways, self.projection), m).join(mixed, ["norm_name", "bx", "by"], "left_semi").select("way_id").distinct()

@@ -166,6 +166,27 @@ def test_reports_of_a_dense_place_list_no_pairs_within_a_street(compare, spark,
     assert len(gaps) == 1 and 0 < gaps[0] <= 120  # of 120 * 119 / 2 pairs within the street, none
 
 
+def test_near_miss_of_ways_with_many_nodes_keeps_few_rows(ways, monkeypatch):
+    lines, ends = (written(monkeypatch, streets, name) for name in ("near-lines", "gap-ends"))
+    low, high = [(5 * k, 0) for k in range(200)], [(5 * k, 150 + abs(k - 77)) for k in range(200)]
+    got = streets.near_misses(ways([(1, "Via A", list(range(200)), low), (2, "Via A", list(range(1000, 1200)), high)]), 100.0, Identity()).collect()
+    assert [(r.node_id_a, r.node_id_b, r.distance_m) for r in got] == [(77, 1077, 150.0)]
+    assert lines == [50]  # a row for eight segments, not one for each
+    assert len(ends) == 1 and ends[0] <= 4  # of 199 * 199 pairs of segments
+
+
+@pytest.mark.parametrize("name", ["near_miss_details"])
+def test_reports_of_ways_with_many_nodes_keep_few_rows(compare, spark, tmp_path, monkeypatch, name):
+    here = 199 * 211 * 100
+    near = next(o for o in range(100, 10**8, 100) if o * 7919 % 199 == 5 and o * 104729 % 211 == 0)
+    spark.createDataFrame([(o, 100) for o in (here, near)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = [(o, 7 * k + i, k) for i, o in enumerate((here, near)) for k in range(40)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    ends = written(monkeypatch, streets, "gap-ends")
+    compare(catalog.QUERIES[name], catalog.ORACLES[name], str(tmp_path))
+    assert len(ends) == 1 and 0 < ends[0] <= 40  # of 39 * 39 pairs of segments
+
+
 def test_near_misses_equal_brute_force_on_odd_rows(spark, ways):
     rng = random.Random(11)
     rows = []
