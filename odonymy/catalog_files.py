@@ -17,7 +17,7 @@ from odonymy.functions.names import normalize_name
 from odonymy.operators import aliases, cities, points, stats, streets
 from odonymy.paths import write_text
 from odonymy.plans import overlay as o
-from odonymy.session import scratch_path, ship
+from odonymy.session import discard, scratch_path, ship
 from odonymy.sources import config_files, osm
 from odonymy.store import Store
 from odonymy.streaming import ingest
@@ -253,7 +253,9 @@ def group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_NEAR_SQL} SELECT (row_number() OVER (ORDER BY round(distance_m, 6), street_id_a, street_id_b) + 1)::INT AS place, printf('%.2f', distance_m) || chr(9) || way_id_a || chr(9) || way_id_b || chr(9) || norm_name || chr(9) || norm_name AS line FROM near_pairs UNION ALL SELECT 1, 'distance_m' || chr(9) || 'way_id_a' || chr(9) || 'way_id_b' || chr(9) || 'norm_name' || chr(9) || 'name'")
 def pair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = io.StringIO()
-    sinks.print_pairs(streets.near_misses(c._stored_lines(spark, sf_dir), c.THRESHOLD, geo.Identity()).toLocalIterator(), text)
+    found = streets.near_misses(c._stored_lines(spark, sf_dir), c.THRESHOLD, geo.Identity())
+    sinks.print_pairs(found.toLocalIterator(), text)
+    discard(found)  # the stored lines, too: the text is all that is left to use
     return _text_lines(spark, text.getvalue())
 
 

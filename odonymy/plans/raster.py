@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from odonymy.functions import geo
 from odonymy.plans.graph import connected_components
-from odonymy.session import discard, materialize, release
+from odonymy.session import discard, materialize, parts_of, release, split
 
 SIDE, STEP, STEPS, TILE = 0.35, 0.9, 64, 256
 _WIDE, _ZERO = 1 << 32, 1 << 30  # a cell is one number: row * 2^32 + column + 2^30
@@ -83,24 +83,29 @@ class Contracted:
     """
 
     def __init__(self, ways: DataFrame, threshold: float, projection: geo.Identity | geo.TransverseMercator):
-        self.ways, self.projection, self.side, self.ties = ways, projection, SIDE * threshold, None
-        lines = _lines(ways, projection)
+        self.ways, self.projection, self.side, self.ties, self.spent = ways, projection, SIDE * threshold, None, []
+        self.split = parts_of(ways)
         if not 0 < threshold < math.inf:  # nothing to contract by
-            self.cells, self.long = None, lines
-            self.parts = materialize(lines.select("way_id", F.col("way_id").alias("part")).distinct(), "parts")
+            self.cells = None
+            self.parts = materialize(_lines(ways, projection).select("way_id", F.col("way_id").alias("part")).distinct(), "parts")
             return
         # Ways without a name never meet; they stay out as long ones do.
         inside = F.col("norm_name").isNotNull() & _short(self.side)
-        short, self.long = lines.where(inside), lines.where(~inside)
         release(ways.sparkSession)
-        self.cells = materialize(_runs(short, self.side), "cells")
+        # The choice of a part's ways comes first: it is cheap, the other conditions are not.
+        self.cells = materialize((_runs(_lines(some, projection).where(inside), self.side) for some in split(ways, self.split)), "cells")
         release(ways.sparkSession)
         self.label = connected_components(_touching(self.cells)).select(F.col("id").alias("hub"), "component")
         start = F.get("line", F.lit(0))
-        of = short.select("norm_name", "way_id", _cell(start["x"], start["y"], self.side).alias("cell")).join(self.cells.select("norm_name", "cell", "hub"), ["norm_name", "cell"])
-        of = of.join(self.label, "hub", "left").select("way_id", F.coalesce("component", "hub").alias("part"))
-        of = materialize(of.union(self.long.select("way_id", F.col("way_id").alias("part"))), "way-parts")
+
+        def placed(some: DataFrame) -> DataFrame:
+            of = _lines(some, projection).select("norm_name", "way_id", F.when(inside, _cell(start["x"], start["y"], self.side)).alias("cell"))
+            of = of.join(self.cells.select("norm_name", "cell", "hub"), ["norm_name", "cell"], "left").join(self.label, "hub", "left")
+            return of.select("way_id", F.coalesce("component", "hub", "way_id").alias("part"), F.col("cell").isNull().alias("long"))
+
+        of = materialize((placed(some) for some in split(ways, self.split)), "way-parts")
         release(ways.sparkSession)
+        self.long = None if of.where("long").isEmpty() else _lines(ways, projection).where(~inside)
         once = materialize(of.groupBy("way_id").agg(F.min("part").alias("part"), F.max("part").alias("most")), "parts")
         self.parts, twice = once.select("way_id", "part"), once.where("part < most").select("way_id", F.col("part").alias("a"))
         if not twice.isEmpty():
@@ -114,6 +119,11 @@ class Contracted:
         at = lambda c: F.floor(F.floor(F.col(c) / self.side) / cells)
         return seg.select("norm_name", "way_id", "y0", "y1", F.explode(F.sequence(at("x0"), at("x1"))).alias("bx")).select("norm_name", "way_id", "bx", F.explode(F.sequence(at("y0"), at("y1"))).alias("by"))
 
+    def clear(self) -> None:
+        """Deletes what only the tables written since were worked out from."""
+        while self.spent:
+            discard(self.spent.pop())
+
     def near_others(self, radius: float) -> DataFrame | None:
         """Ways that another part may come within the radius of, as (norm_name, way_id, coords, part); None if there are none.
 
@@ -126,15 +136,19 @@ class Contracted:
         block = lambda c: F.floor(c / m)
         here = self.cells.select("norm_name", block(_column("cell")).alias("bx"), block(_row("cell")).alias("by"), "hub").distinct().join(self.label, "hub", "left")
         here = here.select("norm_name", "bx", "by", F.coalesce("component", "hub").alias("part")).distinct()
-        here = here.union(self._blocks(self.long, m).select("norm_name", "bx", "by", F.col("way_id").alias("part")).distinct())
+        if self.long is not None:
+            here = here.union(self._blocks(self.long, m).select("norm_name", "bx", "by", F.col("way_id").alias("part")).distinct())
         for k in ("bx", "by"):
             here = here.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
         mixed = here.groupBy("norm_name", "bx", "by").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("norm_name", "bx", "by")
         mixed = materialize(mixed, "mixed-blocks")
         discard(self.cells)
+        discard(self.label)
         if mixed.isEmpty():
+            discard(mixed)
             return None
         near = self._blocks(_lines(self.ways, self.projection), m).join(mixed, ["norm_name", "bx", "by"], "left_semi").select("way_id").distinct()
         near = materialize(near.join(self.parts, "way_id"), "near-others")
         discard(mixed)
+        self.spent.append(near)
         return self.ways.select("norm_name", "way_id", "coords").join(near, "way_id")

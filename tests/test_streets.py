@@ -250,3 +250,35 @@ def test_streets_of_a_dense_place_are_joined_without_listing_its_pairs(ways, mon
     edges = written(monkeypatch, graph, "edges")
     assert classes(streets.components(ways(in_one_place(120)), 100.0, Identity())) == [list(range(1, 121)), [121]]
     assert max(edges) <= 120  # not 120 * 119 / 2
+
+
+def folders(spark):
+    from pathlib import Path
+
+    from odonymy.session import scratch_root
+
+    return {p.name for p in Path(scratch_root(spark).removeprefix("file:")).iterdir()}
+
+
+@pytest.mark.parametrize("size", [None, 1])
+def test_pair_lines_leaves_no_tables_behind_in_one_part_or_four(compare, spark, monkeypatch, size):
+    from odonymy import session
+
+    if size:
+        monkeypatch.setattr(session, "PART", size)
+    before = folders(spark)
+    compare(catalog.QUERIES["pair_lines"], catalog.ORACLES["pair_lines"])
+    assert folders(spark) == before
+
+
+def test_parts_of_a_table_are_all_its_rows_and_keep_a_key_together(spark):
+    from odonymy.session import discard, materialize, split
+
+    rows = [(f"g{i % 9}" if i % 10 else None, i) for i in range(200)]
+    table = spark.createDataFrame(rows, "norm_name string, way_id long")
+    parts = [[tuple(r) for r in part.collect()] for part in split(table, 4)]
+    assert len(parts) == 4 and sorted(r[1] for part in parts for r in part) == list(range(200))
+    assert all(sum(any(r[0] == name for r in part) for part in parts) == 1 for name in {n for n, _ in rows})
+    whole = materialize(split(table, 4), "parts-test")
+    assert sorted(tuple(r)[1] for r in whole.collect()) == list(range(200)) and whole.schema == table.schema
+    discard(whole)
