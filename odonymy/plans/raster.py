@@ -84,7 +84,7 @@ class Contracted:
 
     def __init__(self, ways: DataFrame, threshold: float, projection: geo.Identity | geo.TransverseMercator):
         self.ways, self.projection, self.side, self.ties, self.spent = ways, projection, SIDE * threshold, None, []
-        self.split = parts_of(ways)
+        self.split = parts_of(ways, 4)  # about what the cells of a sparse table shuffle
         if not 0 < threshold < math.inf:  # nothing to contract by
             self.cells = None
             self.parts = materialize(_lines(ways, projection).select("way_id", F.col("way_id").alias("part")).distinct(), "parts")
@@ -105,7 +105,7 @@ class Contracted:
 
         of = materialize((placed(some) for some in split(ways, self.split)), "way-parts")
         release(ways.sparkSession)
-        self.long = None if of.where("long").isEmpty() else _lines(ways, projection).where(~inside)
+        self.long = None if of.where("long").isEmpty() else materialize(_lines(ways, projection).where(~inside), "long-ways")
         once = materialize(of.groupBy("way_id").agg(F.min("part").alias("part"), F.max("part").alias("most")), "parts")
         self.parts, twice = once.select("way_id", "part"), once.where("part < most").select("way_id", F.col("part").alias("a"))
         if not twice.isEmpty():
@@ -141,14 +141,16 @@ class Contracted:
         for k in ("bx", "by"):
             here = here.withColumn(k, F.explode(F.sequence(F.col(k) - 1, F.col(k) + 1)))
         mixed = here.groupBy("norm_name", "bx", "by").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("norm_name", "bx", "by")
-        mixed = materialize(mixed, "mixed-blocks")
-        discard(self.cells)
-        discard(self.label)
+        mixed = materialize(split(mixed, parts_of(self.cells, 4)), "mixed-blocks")
+        release(mixed.sparkSession)
+        for spent in (self.cells, self.label, *([] if self.long is None else [self.long])):
+            discard(spent)
         if mixed.isEmpty():
             discard(mixed)
             return None
         near = self._blocks(_lines(self.ways, self.projection), m).join(mixed, ["norm_name", "bx", "by"], "left_semi").select("way_id").distinct()
         near = materialize(near.join(self.parts, "way_id"), "near-others")
         discard(mixed)
+        release(near.sparkSession)
         self.spent.append(near)
         return self.ways.select("norm_name", "way_id", "coords").join(near, "way_id")
