@@ -95,7 +95,10 @@ class Contracted:
         # The choice of a part's ways comes first: it is cheap, the other conditions are not.
         self.cells = materialize((_runs(_lines(some, projection).where(inside), self.side) for some in split(ways, self.split)), "cells")
         release(ways.sparkSession)
-        self.label = connected_components(_touching(self.cells)).select(F.col("id").alias("hub"), "component")
+        touching = materialize((_touching(some) for some in split(self.cells, parts_of(self.cells, 4))), "touching")
+        release(ways.sparkSession)
+        self.label = connected_components(touching).select(F.col("id").alias("hub"), "component")
+        discard(touching)
         start = F.get("line", F.lit(0))
 
         def placed(some: DataFrame) -> DataFrame:
